@@ -295,7 +295,7 @@ def _louvain(spark, sf):
 @query("k9_leiden_partition")
 def _leiden(spark, sf):
     edges = cut_lineage(fleet_graph(spark, sf))
-    return _partition_summary(C.leiden(edges, max_rounds=2))
+    return _partition_summary(C.leiden(edges, max_rounds=2, max_sweeps=3))
 
 
 @query("k10_louvain_with_resolution")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,17 +33,23 @@ def ensure_checkpoint_dir(df: DataFrame) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the reliable checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df)
-    return df.checkpoint(eager=True)
-
-
 def checkpoint_folder(df: DataFrame) -> str:
     ensure_checkpoint_dir(df)
     return df.sparkSession.sparkContext.getCheckpointDir()
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared checkpoint folder and go on from there.
+
+    A table survives lost executors, and the next plan starts clean: unlike a checkpointed
+    DataFrame it brings no constraints of its past along, which would pile up in a loop, and its
+    file sizes let the planner pick broadcast joins by itself.
+    """
+    path = f"{checkpoint_folder(df)}/regatta-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lookup(df: DataFrame, *cols: str, limit: int = LOOKUP_LIMIT, what: str = "lookup") -> Column:
     """All rows of a small table as one ``array<struct>`` scalar, sorted by the first column.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,8 +175,8 @@ def train_per_entity(
     effort = F.col("epochs") if "epochs" in starts.columns else F.lit(epochs)
     begin = starts.select("entity", F.col("vector").alias("start"), effort.cast("int").alias("epochs"))
     per_shard = plan.join(begin, "entity").select(
-        "entity", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("shard"),
-        "start", "epochs",
+        F.col("entity").alias("owner"),
+        F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("piece"), "start", "epochs",
     )
 
     def fit(key, data: pd.DataFrame, begin_rows: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +185,7 @@ def train_per_entity(
         data = data.sort_values("sample_id")
         x = np.stack(data["features"].to_numpy()).astype(float)
         y = data["label"].to_numpy().astype(int)
-        order = np.random.default_rng([seed, abs(hash(int(key[0]))) % (1 << 32), int(key[1])])
+        order = np.random.default_rng([seed, zlib.crc32(f"{key[0]}:{key[1]}".encode())])
         flat, loss = _fit(
             np.asarray(begin_rows["start"].iat[0], float), x, y, shape, rate,
             int(begin_rows["epochs"].iat[0]), order, mu,
@@ -195,7 +196,7 @@ def train_per_entity(
 
     entity_type = samples.schema["entity"].dataType.simpleString()
     trained = tagged.groupBy("entity", "shard").cogroup(
-        per_shard.groupBy("entity", "shard")
+        per_shard.groupBy("owner", "piece")
     ).applyInPandas(
         fit, f"entity {entity_type}, shard int, vector array<double>, n long, loss double"
     )

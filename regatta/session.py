@@ -15,7 +15,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        # A local session keeps executors inside the driver; iterative jobs run hundreds of queries,
+        # so the finished ones are forgotten early.
+        builder = (
+            builder.master(master)
+            .config("spark.ui.enabled", "false")
+            .config("spark.driver.memory", "12g")
+            .config("spark.sql.ui.retainedExecutions", "20")
+            .config("spark.ui.retainedJobs", "50")
+            .config("spark.ui.retainedStages", "50")
+        )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
