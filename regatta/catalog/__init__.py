@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("vectors", "graphs", "samples", "histories")
+MODULES = ("vectors", "graphs", "samples", "histories", "streams")
 
 
 def load() -> SimpleNamespace:

@@ -92,8 +92,8 @@ def _prefix(spark, sf):
     return _store(spark, sf).filter(F.startswith("key", F.lit("cluster-")))
 
 
-ROLLING = """list_reduce(list_prepend(7::BIGINT, list_transform(string_split(id, ''), c -> ascii(c)::BIGINT)),
-  (a, c) -> (a * 31 + c) % 4294967296)"""
+ROLLING = """list_reduce(list_prepend(7::BIGINT, list_transform(string_split(id, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, c: (a * 31 + c) % 4294967296)"""
 
 
 @query("p8_entity_index", f"""WITH {STORE}, all_ids AS (
@@ -340,8 +340,7 @@ def _latest(spark, sf):
 
 
 MEMBERS = f"""{LOG}, members AS (
-  SELECT round, experiment AS cluster, entity FROM log
-  WHERE accuracy >= 0.5 GROUP BY ALL)"""
+  SELECT DISTINCT round, experiment AS cluster, entity FROM log)"""
 
 
 @query("w6_composition_index", f"""WITH {MEMBERS}, signed AS (
@@ -351,18 +350,18 @@ first AS (SELECT signature, min((round, cluster)) AS f FROM signed GROUP BY sign
 ranked AS (SELECT signature, row_number() OVER (ORDER BY f) - 1 AS r FROM first)
 SELECT round, cluster, size, (r % 12)::INT AS palette FROM signed JOIN ranked USING (signature)""")
 def _signatures(spark, sf):
-    members = log(spark, sf).filter(F.col("accuracy") >= 0.5).select(
-        "round", F.col("experiment").alias("cluster"), "entity"
-    )
+    members = log(spark, sf).select("round", F.col("experiment").alias("cluster"), "entity")
     return H.signature_index(members)
 
 
 @query("j9_cluster_of_members", f"""WITH {LOG}, listed AS (
-  SELECT DISTINCT entity, experiment AS cluster FROM log WHERE round = 3)
+  SELECT entity, arg_max(experiment, (loss, event_id)) AS cluster FROM log GROUP BY entity)
 SELECT c.c_custkey AS entity, l.cluster FROM customer c LEFT JOIN listed l ON l.entity = c.c_custkey""")
 def _member_lookup(spark, sf):
-    day = log(spark, sf).filter(F.col("round") == 3).select("entity", "experiment").distinct()
-    clusters = day.select(F.array("entity").alias("members"), F.col("experiment").alias("pos"))
+    top = log(spark, sf).groupBy("entity").agg(
+        F.max_by("experiment", F.struct("loss", "event_id")).alias("experiment")
+    )
+    clusters = top.select(F.array("entity").alias("members"), F.col("experiment").alias("pos"))
     entities = read(spark, sf, "customer").select(F.col("c_custkey").alias("entity"))
     return H.cluster_of_members(entities, clusters)
 

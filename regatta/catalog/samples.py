@@ -44,10 +44,13 @@ def _members(spark, sf):
   SELECT list(val ORDER BY idx) AS g FROM (SELECT idx, avg(val) AS val FROM long GROUP BY idx))
 SELECT f.entity, f.cluster, unnest(range({DIM}))::INT AS idx,
        round(unnest(coalesce(m.vector, g)), 6) AS val
-FROM fleet f LEFT JOIN means m ON m.cluster = f.cluster AND m.cluster < 6, overall""")
+FROM fleet f LEFT JOIN (
+  SELECT * FROM means WHERE cluster IN (SELECT cluster FROM fleet GROUP BY cluster HAVING count(*) >= 50)
+) m ON m.cluster = f.cluster, overall""")
 def _fallback(spark, sf):
     rows = fleet(spark, sf)
-    known = cluster_means(spark, sf).filter(F.col("cluster") < 6)
+    large = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 50)
+    known = cluster_means(spark, sf).join(large.select("cluster"), "cluster", "left_semi")
     overall = agg.to_vectors(
         agg.vector_aggregate(rows.withColumn("all", F.lit(0)), ["all"], "simple"), ["all"]
     )
