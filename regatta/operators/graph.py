@@ -106,7 +106,8 @@ def community_links(
     )
 
 
-def _with_own(links: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def with_own(links: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Links with the ``own`` community of the node they leave from."""
     own = labels.select(*keys, F.col("node").alias("src"), F.col("community").alias("own"))
     return links.join(own, [*keys, "src"])
 
@@ -122,12 +123,29 @@ def community_sums(links_own: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
     """``q`` of a labelling; 0 when there is no weight. Grouped sums only, no pair of nodes."""
-    sums = community_sums(_with_own(community_links(edges, labels), labels))
+    sums = community_sums(with_own(community_links(edges, labels), labels))
     two_m = F.sum("tot")
     q = (F.sum("inner") - resolution * F.sum(F.col("tot") * F.col("tot")) / two_m) / two_m
     return sums.agg(F.when(two_m > 0, q).otherwise(F.lit(0.0)).alias("q"))
 
 
+def _per_node(links_own: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    inside = F.col("community") == F.col("own")
+    return links_own.groupBy(*keys, "src", "own").agg(
+        F.sum(F.col("w") + F.col("self_w")).alias("k"),
+        F.sum(F.when(inside, F.col("w")).otherwise(0.0)).alias("w_own"),
+        F.sum("self_w").alias("loop"),
+    )
+
+
+def node_sums(edges: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys..., node, k, inner)``: degree of every node and what of it stays in its community."""
+    links = with_own(community_links(edges, labels, keys), labels, keys)
+    return _per_node(links, keys).select(
+        *keys, F.col("src").alias("node"), "k", (F.col("w_own") + F.col("loop")).alias("inner")
+    )
+
+
 def move_gains(
     edges: DataFrame,
     labels: DataFrame,
@@ -135,19 +153,14 @@ def move_gains(
     rule: str = "louvain",
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(keys..., src, own, target, gain, k, inner)``: every move open to every node.
+    """``(keys..., src, own, target, gain)``: every move open to every node.
 
     ``louvain`` measures a community, the own one included, with the node taken out of it.
     ``leiden`` measures the change against staying.
     """
     gamma = resolution if isinstance(resolution, Column) else F.lit(float(resolution))
-    links = _with_own(community_links(edges, labels, keys), labels, keys)
-    inside = F.col("community") == F.col("own")
-    per_node = links.groupBy(*keys, "src", "own").agg(
-        F.sum(F.col("w") + F.col("self_w")).alias("k"),
-        F.sum(F.when(inside, F.col("w")).otherwise(0.0)).alias("w_own"),
-        F.sum("self_w").alias("loop"),
-    )
+    links = with_own(community_links(edges, labels, keys), labels, keys)
+    per_node = _per_node(links, keys)
     totals = per_node.groupBy(*keys, F.col("own").alias("community")).agg(F.sum("k").alias("tot"))
     own_tot = totals.select(*keys, F.col("community").alias("own"), F.col("tot").alias("own_tot"))
     nodes = spread_join(per_node, own_tot, [*keys, "own"], ["src"]) if not keys else (
@@ -178,8 +191,7 @@ def move_gains(
     else:
         raise ValueError(f"unknown rule {rule!r}")
     return reach.select(
-        *keys, "src", "own", "target", F.round(gain, GAIN_DECIMALS).alias("gain"), "k",
-        (F.col("w_own") + F.col("loop")).alias("inner"),
+        *keys, "src", "own", "target", F.round(gain, GAIN_DECIMALS).alias("gain")
     )
 
 
@@ -245,7 +257,7 @@ def split_sparse(
 
     The half that leaves takes the old label plus one more than the largest label.
     """
-    links = _with_own(community_links(edges, labels, keys), labels, keys)
+    links = with_own(community_links(edges, labels, keys), labels, keys)
     inner = community_sums(links, keys).select(*keys, "community", "inner")
     sizes = labels.groupBy(*keys, "community").agg(F.count(F.lit(1)).alias("n"))
     pairs = F.col("n") * (F.col("n") - 1)

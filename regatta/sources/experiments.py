@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed value: version written into every document.
 VERSION = "1.0"
@@ -35,7 +34,7 @@ CONFIG = (
     "useAgreementMatrix:boolean,clientsPerRound:int,totalRounds:int,minClientsRequired:int,"
     "modelArchitecture:string,seed:bigint,clientCount:int>"
 )
-DOCUMENT = T.StructType.fromDDL(
+DOCUMENT = (
     f"version string, savedAt string, serverConfig {CONFIG}, globalModel {MODEL}, "
     f"roundHistory array<{ROUND}>, "
     f"clientModels array<struct<clientId:string,weights:{MODEL}>>, "
@@ -53,8 +52,7 @@ def read_documents(
     A saved file is one pretty-printed document (``multi_line``); documents written by
     ``write_documents`` are one per line and split freely.
     """
-    schema = T.StructType([*DOCUMENT.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.schema(schema).option("multiLine", multi_line).option(
+    raw = spark.read.schema(f"{DOCUMENT}, _corrupt_record string").option("multiLine", multi_line).option(
         "mode", "PERMISSIVE"
     ).json(paths)
     if "experiment" in raw.columns:
