@@ -80,9 +80,8 @@ SELECT round(sum(coalesce(inner_w, 0) - tot * tot / two_m) / any_value(two_m), 8
        round(sum(coalesce(inner_w, 0) - 2 * tot * tot / two_m) / any_value(two_m), 8) AS q2
 FROM csum LEFT JOIN inn USING (community), tot t(two_m)""")
 def _modularity(spark, sf):
-    edges, labels = trade_edges(spark, sf), trade_labels(spark, sf)
-    q = G.modularity(edges, labels, 1.0).select(F.round("q", 8).alias("q1"))
-    return q.withColumn("q2", F.round(G.modularity(edges, labels, 2.0).scalar(), 8))
+    q = G.modularity(trade_edges(spark, sf), trade_labels(spark, sf), [1.0, 2.0])
+    return rounded(q, "q1", "q2", digits=8)
 
 
 @query("k4_louvain_step", f"""WITH {TRADE}, g AS (

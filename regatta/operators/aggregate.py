@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from regatta.functions.arrays import array_sum
-from regatta.operators.common import value_rank
+from regatta.operators.common import spread_join, value_rank
 
 # Rank error asked of the quantile sketch that brackets a median.
-MEDIAN_ACCURACY = 10000
+MEDIAN_ACCURACY = 2000
 
 AggregateBuilder = Callable[[Column, Column], Column]
 
@@ -98,7 +98,7 @@ def long_median(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count("val").alias("_n"),
         F.percentile_approx("val", [0.5 - margin, 0.5 + margin], MEDIAN_ACCURACY).alias("_b"),
     )
-    sided = long.join(bracket, at).filter(F.col("val") <= F.col("_b")[1])
+    sided = spread_join(long, bracket, at, ["val"]).filter(F.col("val") <= F.col("_b")[1])
     value = F.when(F.col("val") >= F.col("_b")[0], F.col("val"))
     counted = sided.groupBy(*at, "_n", value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     # A null _v stands for everything below the bracket and sorts first.

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 # Rows a lookup may hold before it stops being a lookup (centroids, class means, one global row).
 LOOKUP_LIMIT = 4096
 # Copies of the unique side in a salted join; one hot key is spread over this many tasks.
-SALT_COPIES = 16
+SALT_COPIES = 8
 # Buckets per key in a distributed rank.
 RANK_BUCKETS = 64
 
@@ -133,7 +133,10 @@ def value_rank(
     """Rank within ``keys`` by any numeric column: bucket edges are approximate quantiles."""
     edges = [i / buckets for i in range(1, buckets)]
     splits = df.groupBy(*keys).agg(F.percentile_approx(value, edges, 10000).alias("_splits"))
-    tagged = df.join(splits, list(keys)) if keys else df.withColumn("_splits", splits.scalar())
+    if keys:
+        tagged = spread_join(df, splits, list(keys), [value])
+    else:
+        tagged = df.withColumn("_splits", splits.scalar())
     position = F.size(F.filter("_splits", lambda s: s < F.col(value)))
     tagged = tagged.withColumn("_bucket", position).drop("_splits")
     order = [F.col(value)] + ([F.col(tie)] if tie else [])

@@ -6,6 +6,8 @@ and counts in the degree of ``i``; it stands for the links among copies collapse
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,10 +99,7 @@ def community_links(
     """
     at = labels.select(*keys, F.col("node").alias("dst"), "community")
     own = F.col("src") == F.col("dst")
-    return (
-        spread_join(edges, at, ["dst"], ["src"]) if not keys
-        else edges.join(at, "dst")
-    ).groupBy(*keys, "src", "community").agg(
+    return spread_join(edges, at, ["dst"], ["src"]).groupBy(*keys, "src", "community").agg(
         F.sum(F.when(~own, F.col("w")).otherwise(0.0)).alias("w"),
         F.sum(F.when(own, F.col("w")).otherwise(0.0)).alias("self_w"),
     )
@@ -121,12 +120,23 @@ def community_sums(links_own: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
     )
 
 
-def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """``q`` of a labelling; 0 when there is no weight. Grouped sums only, no pair of nodes."""
+def modularity(
+    edges: DataFrame, labels: DataFrame, resolution: float | Sequence[float] = 1.0
+) -> DataFrame:
+    """``q`` of a labelling (``q1``, ``q2``, ... for several resolutions); 0 without any weight.
+
+    Grouped sums only, no pair of nodes.
+    """
     sums = community_sums(with_own(community_links(edges, labels), labels))
     two_m = F.sum("tot")
-    q = (F.sum("inner") - resolution * F.sum(F.col("tot") * F.col("tot")) / two_m) / two_m
-    return sums.agg(F.when(two_m > 0, q).otherwise(F.lit(0.0)).alias("q"))
+
+    def q(gamma: float) -> Column:
+        value = (F.sum("inner") - gamma * F.sum(F.col("tot") * F.col("tot")) / two_m) / two_m
+        return F.when(two_m > 0, value).otherwise(F.lit(0.0))
+
+    if isinstance(resolution, (int, float)):
+        return sums.agg(q(resolution).alias("q"))
+    return sums.agg(*[q(g).alias(f"q{i}") for i, g in enumerate(resolution, 1)])
 
 
 def _per_node(links_own: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -138,17 +148,26 @@ def _per_node(links_own: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def node_sums(edges: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def node_sums(links_own: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``(keys..., node, k, inner)``: degree of every node and what of it stays in its community."""
-    links = with_own(community_links(edges, labels, keys), labels, keys)
-    return _per_node(links, keys).select(
+    return _per_node(links_own, keys).select(
         *keys, F.col("src").alias("node"), "k", (F.col("w_own") + F.col("loop")).alias("inner")
     )
 
 
+def owned_links(
+    edges: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Node-to-community links with the node's own community, written out.
+
+    A step reads them several times; the table spares it the join over all edges each time.
+    """
+    return cut_lineage(with_own(community_links(edges, labels, keys), labels, keys))
+
+
 def move_gains(
-    edges: DataFrame,
-    labels: DataFrame,
+    links_own: DataFrame,
+    two_m: Column,
     resolution: Column | float = LOUVAIN_RESOLUTION,
     rule: str = "louvain",
     keys: tuple[str, ...] = (),
@@ -159,24 +178,17 @@ def move_gains(
     ``leiden`` measures the change against staying.
     """
     gamma = resolution if isinstance(resolution, Column) else F.lit(float(resolution))
-    links = with_own(community_links(edges, labels, keys), labels, keys)
-    per_node = _per_node(links, keys)
+    per_node = _per_node(links_own, keys)
     totals = per_node.groupBy(*keys, F.col("own").alias("community")).agg(F.sum("k").alias("tot"))
     own_tot = totals.select(*keys, F.col("community").alias("own"), F.col("tot").alias("own_tot"))
-    nodes = spread_join(per_node, own_tot, [*keys, "own"], ["src"]) if not keys else (
-        per_node.join(own_tot, [*keys, "own"])
-    )
-    targets = links.filter(F.col("w") > 0).select(
+    nodes = spread_join(per_node, own_tot, [*keys, "own"], ["src"])
+    targets = links_own.filter(F.col("w") > 0).select(
         *keys, "src", F.col("community").alias("target"), F.col("w").alias("w_in")
     )
     totals_of = totals.select(
         *keys, F.col("community").alias("target"), F.col("tot").alias("target_tot")
     )
-    reach = (
-        spread_join(targets, totals_of, ["target"], ["src"]) if not keys
-        else targets.join(totals_of, [*keys, "target"])
-    ).join(nodes, [*keys, "src"])
-    two_m = edges.agg(F.sum("w")).scalar()
+    reach = spread_join(targets, totals_of, [*keys, "target"], ["src"]).join(nodes, [*keys, "src"])
     stays = F.col("target") == F.col("own")
     k = F.col("k")
     if rule == "louvain":
@@ -195,6 +207,16 @@ def move_gains(
     )
 
 
+def all_gains(
+    edges: DataFrame, labels: DataFrame, resolution: float = LOUVAIN_RESOLUTION,
+    rule: str = "louvain",
+) -> DataFrame:
+    """``move_gains`` of one labelling."""
+    links = owned_links(edges, labels)
+    two_m = links.agg(F.sum(F.col("w") + F.col("self_w"))).scalar()
+    return move_gains(links, two_m, resolution, rule)
+
+
 def best_moves(gains: DataFrame, least: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """``(keys..., src, own, target, gain)``: best gain above ``least``, ties to the small label."""
     pick = F.max(F.struct("gain", (-F.col("target")).alias("_neg")))
@@ -210,11 +232,11 @@ def louvain_step(
     edges: DataFrame, labels: DataFrame, resolution: float = LOUVAIN_RESOLUTION
 ) -> DataFrame:
     """Preferred community of every node in one synchronous step."""
-    return best_moves(move_gains(edges, labels, resolution, "louvain"), 0.0)
+    return best_moves(all_gains(edges, labels, resolution, "louvain"), 0.0)
 
 
 def leiden_step(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
-    return best_moves(move_gains(edges, labels, resolution, "leiden"), LEIDEN_MIN_GAIN)
+    return best_moves(all_gains(edges, labels, resolution, "leiden"), LEIDEN_MIN_GAIN)
 
 
 def strongest_neighbour_refine(edges: DataFrame, labels: DataFrame) -> DataFrame:

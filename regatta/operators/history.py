@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from regatta.operators.assign import has_risen
+from regatta.operators.common import ranked_in_buckets, spread_join
 
 # History length, palette size, and the cap on pivoted columns.
 HISTORY_LENGTH = 3
@@ -229,8 +230,9 @@ def apply_transfers(rows: DataFrame, transfers: DataFrame, step: int) -> DataFra
         .select("dst", "src")
     )
     others = [c for c in rows.columns if c != "entity"]
-    kept = rows.join(due.select(F.col("dst").alias("entity")), "entity", "left_anti")
-    copies = rows.withColumnRenamed("entity", "src").join(due, "src").select(
+    moved = due.select(F.col("dst").alias("entity"))
+    kept = spread_join(rows, moved, ["entity"], others, "left_anti").select(*rows.columns)
+    copies = spread_join(rows.withColumnRenamed("entity", "src"), due, ["src"], others).select(
         F.col("dst").alias("entity"), *others
     )
     return kept.unionByName(copies)
@@ -258,8 +260,6 @@ def signature_index(members: DataFrame) -> DataFrame:
 
     ``members`` is ``(round, cluster, entity)``.
     """
-    from regatta.operators.common import ranked_in_buckets, spread_join
-
     signed = composition_keys(members, ["round", "cluster"])
     first = signed.groupBy("signature").agg(F.min(F.struct("round", "cluster")).alias("_f"))
     # The round already follows the order, so it serves as the bucket of the rank.

@@ -116,31 +116,54 @@ def _to_metric(values: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 * values, 0.0)) if metric == "cosine" else values
 
 
-def _cells(
-    points: DataFrame, pivots: np.ndarray, metric: str, reach: float, extra: list[str]
-) -> DataFrame:
-    """``(cell, home, entity, vector, extra...)``: home rows and the visits a bound allows.
+def _visits(
+    pdf: pd.DataFrame, pivots: np.ndarray, metric: str, reach: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, cell, home)`` of a batch: where each row lives and which lower cells it visits.
 
     If d(x, y) <= r and y's nearest pivot is j, then d(x, p_j) <= d(x, p_home) + 2r, so x must be
     seen in cell j. A pair is judged once, in the lower cell, so visits only go downwards.
     """
-    kernel = KERNELS[metric]
+    far = _to_metric(KERNELS[metric](_stack(pdf["vector"]), pivots), metric)
+    home = far.argmin(1)
+    own = far[np.arange(len(far)), home]
+    near = far <= (own + 2.0 * reach + 1e-9 * (1.0 + own))[:, None]
+    near &= np.arange(far.shape[1])[None, :] <= home[:, None]
+    row, cell = np.nonzero(near)
+    return row, cell, home[row] == cell
+
+
+def _cell_counts(
+    points: DataFrame, pivots: np.ndarray, metric: str, reach: float
+) -> dict[int, tuple[int, int]]:
+    """``cell -> (home rows, visits)``, counted per batch without moving a vector."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            _, cell, at_home = _visits(pdf, pivots, metric, reach)
+            yield pd.DataFrame({
+                "cell": np.arange(len(pivots), dtype="int32"),
+                "h": np.bincount(cell[at_home], minlength=len(pivots)),
+                "v": np.bincount(cell[~at_home], minlength=len(pivots)),
+            })
+
+    parts = points.select("vector").mapInPandas(tally, "cell int, h long, v long")
+    sums = parts.groupBy("cell").agg(F.sum("h").alias("h"), F.sum("v").alias("v"))
+    return {r["cell"]: (r["h"], r["v"]) for r in sums.filter(F.col("h") + F.col("v") > 0).collect()}
+
+
+def _cells(points: DataFrame, pivots: np.ndarray, metric: str, reach: float) -> DataFrame:
+    """Points with ``cell`` and ``home``, one row per cell a point lives in or visits."""
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if pdf.empty:
                 continue
-            far = _to_metric(kernel(_stack(pdf["vector"]), pivots), metric)
-            home = far.argmin(1)
-            own = far[np.arange(len(far)), home]
-            slack = 1e-9 * (1.0 + own)
-            near = far <= (own + 2.0 * reach + slack)[:, None]
-            near &= np.arange(far.shape[1])[None, :] <= home[:, None]
-            row, cell = np.nonzero(near)
+            row, cell, at_home = _visits(pdf, pivots, metric, reach)
             out = pdf.iloc[row].reset_index(drop=True)
-            out["cell"] = cell.astype("int32")
-            out["home"] = home[row] == cell
-            yield out
+            yield out.assign(cell=cell.astype("int32"), home=at_home)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
     return points.mapInPandas(route, f"{schema}, cell int, home boolean")
@@ -181,17 +204,10 @@ def make_blocks(
         chosen = points.orderBy(hash_uniform(F.col("entity"), "pivot"), "entity").limit(PIVOTS)
         pivots = _stack(chosen.select("vector").toPandas()["vector"])
         reach = float(_to_metric(np.array(max_distance), metric))
-        routed = _cells(points, pivots, metric, reach, extra)
-        found = {
-            r["cell"]: (r["h"], r["v"])
-            for r in routed.groupBy("cell").agg(
-                F.count(F.when(F.col("home"), 1)).alias("h"),
-                F.count(F.when(~F.col("home"), 1)).alias("v"),
-            ).collect()
-        }
+        found = _cell_counts(points, pivots, metric, reach)
         cost = sum(h * (h / 2 + v) for h, v in found.values())
         if cost < PRUNE_GAIN * size["n"] ** 2 / 2:
-            tagged, counts = routed, found
+            tagged, counts = _cells(points, pivots, metric, reach), found
 
     def blocks_of(n: int) -> int:
         return max(1, -(-n // rows))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regatta.functions.arrays import argmax, cross_entropy, dot, unit
-from regatta.operators.common import lookup
+from regatta.operators.common import LOOKUP_LIMIT, lookup
 from regatta.operators.pairs import cluster_distance_sums
 
 
@@ -48,13 +48,17 @@ def _per_cluster(scores: DataFrame) -> DataFrame:
 
 
 def silhouette_scores(
-    df: DataFrame, metric: str = "cosine", cluster_limit: int = 4096
+    df: DataFrame, metric: str = "cosine", cluster_limit: int = LOOKUP_LIMIT
 ) -> DataFrame:
     """``(entity, cluster, s)`` of ``(entity, cluster, vector)``.
 
     Cosine needs no pairs: the mean distance of x to cluster C is 1 - x.mean(C) over unit vectors.
+    More clusters than a lookup holds, or another metric, go through block sums.
     """
-    if metric != "cosine":
+    few = metric == "cosine" and (
+        df.select("cluster").distinct().limit(cluster_limit + 1).count() <= cluster_limit
+    )
+    if not few:
         return _silhouette_from_means(cluster_distance_sums(df, metric))
     units = df.select("entity", "cluster", unit(F.col("vector").cast("array<double>")).alias("x"))
     sums = units.select("cluster", F.posexplode("x").alias("idx", "val")).groupBy(

@@ -99,27 +99,50 @@ def score(
     return samples.mapInPandas(run, f"{schema}, probs array<double>")
 
 
+def _sharded(
+    samples: DataFrame, shard_rows: int, salt: str
+) -> tuple[DataFrame, DataFrame]:
+    """Samples with a hash ``shard`` of about ``shard_rows`` rows, and ``(entity, _shards)``."""
+    sizes = samples.groupBy("entity").agg(F.count(F.lit(1)).alias("_rows"))
+    plan = sizes.select("entity", F.ceil(F.col("_rows") / shard_rows).cast("int").alias("_shards"))
+    u = hash_uniform(F.col("sample_id"), f"shard:{salt}")
+    tagged = spread_join(samples, plan, ["entity"], ["sample_id"]).withColumn(
+        "shard", F.floor(u * F.col("_shards")).cast("int")
+    )
+    return tagged.drop("_shards"), plan
+
+
+def _per_shard(plan: DataFrame, models: DataFrame) -> DataFrame:
+    """One copy of an entity's model row per shard of its samples."""
+    return plan.join(models, "entity").withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1))
+    ).withColumnRenamed("entity", "owner").drop("_shards")
+
+
 def score_per_entity(
-    samples: DataFrame, models: DataFrame, n_in: int, n_hidden: int, n_out: int
+    samples: DataFrame, models: DataFrame, n_in: int, n_hidden: int, n_out: int,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """As ``score`` with a model per entity, carried next to the samples by a salted join.
+    """As ``score`` with a model per entity.
 
-    A batch multiplies each entity's samples by its model at once.
+    A shard of an entity's samples meets one copy of its model; a crowded entity is many shards.
     """
-    joined = spread_join(
-        samples, models.select("entity", F.col("vector").alias("_model")), ["entity"], ["sample_id"]
-    )
+    tagged, plan = _sharded(samples, shard_rows, "score")
+    pieces = _per_shard(plan, models.select("entity", F.col("vector").alias("_model")))
+    kept = [f for f in samples.schema.fields if f.name != "features"]
+    names = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, part in pdf.groupby("entity"):
-                net = _Net(np.asarray(part["_model"].iat[0], float), n_in, n_hidden, n_out)
-                x = np.stack(part["features"].to_numpy()).astype(float)
-                yield part.drop(columns=["features", "_model"]).assign(probs=list(net.forward(x)[1]))
+    def run(key, data: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if data.empty or model.empty:
+            return pd.DataFrame({c: [] for c in [*names, "probs"]})
+        net = _Net(np.asarray(model["_model"].iat[0], float), n_in, n_hidden, n_out)
+        x = np.stack(data["features"].to_numpy()).astype(float)
+        return data[names].assign(probs=list(net.forward(x)[1]))
 
-    kept = [f for f in joined.schema.fields if f.name not in ("features", "_model")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    return joined.mapInPandas(run, f"{schema}, probs array<double>")
+    return tagged.groupBy("entity", "shard").cogroup(pieces.groupBy("owner", "piece")).applyInPandas(
+        run, f"{schema}, probs array<double>"
+    )
 
 
 def _fit(
@@ -164,20 +187,12 @@ def train_per_entity(
     averaged by their row counts; so no task holds more than a shard. ``epochs`` may also come per
     entity as a column of ``starts``.
     """
-    sizes = samples.groupBy("entity").agg(F.count(F.lit(1)).alias("_rows"))
-    shards = F.ceil(F.col("_rows") / shard_rows).cast("int")
-    plan = sizes.select("entity", shards.alias("_shards"))
-    tagged = spread_join(samples, plan, ["entity"], ["sample_id"]).select(
-        "entity", "sample_id", "features", "label",
-        F.floor(hash_uniform(F.col("sample_id"), f"shard:{seed}") * F.col("_shards")).cast("int")
-        .alias("shard"),
-    )
+    tagged, plan = _sharded(samples.select("entity", "sample_id", "features", "label"), shard_rows,
+                            str(seed))
     effort = F.col("epochs") if "epochs" in starts.columns else F.lit(epochs)
-    begin = starts.select("entity", F.col("vector").alias("start"), effort.cast("int").alias("epochs"))
-    per_shard = plan.join(begin, "entity").select(
-        F.col("entity").alias("owner"),
-        F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("piece"), "start", "epochs",
-    )
+    pieces = _per_shard(plan, starts.select(
+        "entity", F.col("vector").alias("start"), effort.cast("int").alias("epochs")
+    ))
 
     def fit(key, data: pd.DataFrame, begin_rows: pd.DataFrame) -> pd.DataFrame:
         if data.empty or begin_rows.empty:
@@ -196,7 +211,7 @@ def train_per_entity(
 
     entity_type = samples.schema["entity"].dataType.simpleString()
     trained = tagged.groupBy("entity", "shard").cogroup(
-        per_shard.groupBy("owner", "piece")
+        pieces.groupBy("owner", "piece")
     ).applyInPandas(
         fit, f"entity {entity_type}, shard int, vector array<double>, n long, loss double"
     )

@@ -110,7 +110,7 @@ def test_modularity(spark, triangles, labels, gamma, want):
 def test_louvain_gains(triangles, singletons):
     for gamma, want in [(1, (0.05102040816326531, 0.04081632653061224)),
                         (2, (0.030612244897959186, 0.010204081632653064))]:
-        gains = {r.target: r.gain for r in G.move_gains(triangles, singletons, gamma)
+        gains = {r.target: r.gain for r in G.all_gains(triangles, singletons, gamma)
                  .filter("src = 0").collect()}
         assert (gains[1], gains[2]) == pytest.approx(want, abs=1e-11)
     best = {r.src: r.target for r in G.louvain_step(triangles, singletons, 1).collect()}
@@ -118,7 +118,7 @@ def test_louvain_gains(triangles, singletons):
 
 
 def test_leiden_gains(triangles, singletons):
-    gains = {r.target: r.gain for r in G.move_gains(triangles, singletons, 1, "leiden")
+    gains = {r.target: r.gain for r in G.all_gains(triangles, singletons, 1, "leiden")
              .filter("src = 0").collect()}
     assert (gains[1], gains[2]) == pytest.approx((0.10204081632653061, 0.08163265306122448), abs=1e-11)
 
