@@ -90,12 +90,11 @@ def _modularity(spark, sf):
                 / two_m) / two_m, 12) AS gain
   FROM kin k JOIN labels o ON o.node = k.src JOIN deg d ON d.node = k.src
   JOIN csum c ON c.community = k.community, tot)
-SELECT src, own, target, round(gain, 9) AS gain FROM (
+SELECT src, own, target, gain FROM (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY gain DESC, target) AS r FROM g WHERE gain > 0)
 WHERE r = 1""")
 def _louvain_step(spark, sf):
-    step = G.louvain_step(trade_edges(spark, sf), trade_labels(spark, sf))
-    return rounded(step, "gain", digits=9)
+    return G.louvain_step(trade_edges(spark, sf), trade_labels(spark, sf))
 
 
 @query("k7_leiden_local_move", f"""WITH {TRADE}, own AS (
@@ -108,13 +107,12 @@ g AS (
                - o.k * (c.tot - o.own_tot + o.k) / (2 * (two_m / 2) * (two_m / 2)), 12) AS gain
   FROM own o JOIN kin k ON k.src = o.src AND k.community <> o.own
   JOIN csum c ON c.community = k.community, tot)
-SELECT src, own, target, round(gain, 9) AS gain FROM (
+SELECT src, own, target, gain FROM (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY gain DESC, target) AS r
   FROM g WHERE gain > 1e-10)
 WHERE r = 1""")
 def _leiden_step(spark, sf):
-    step = G.leiden_step(trade_edges(spark, sf), trade_labels(spark, sf))
-    return rounded(step, "gain", digits=9)
+    return G.leiden_step(trade_edges(spark, sf), trade_labels(spark, sf))
 
 
 @query("k6_strongest_neighbour_refine", f"""WITH {TRADE}, best AS (
