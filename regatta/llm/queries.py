@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.llm import language_id, packing, pii, quality_rules, secrets, simhash
+from regatta.llm import (
+    html_blocks,
+    language_id,
+    packing,
+    pii,
+    quality_rules,
+    secrets,
+    simhash,
+    warc_index,
+)
 from regatta.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +39,14 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    _, index = warc_index.archive_pages(pages)
+    return warc_index.read_index(spark, index).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key"
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
@@ -51,8 +68,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_blocks.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"), to="text")
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_pii, op5_secrets, op7_packing, op8_language_id, op9_simhash)
+    for f in (
+        op1_quality_rules, op3_pii, op5_secrets, op6_warc, op7_packing, op8_language_id,
+        op9_simhash, op10_html,
+    )
 }
 ORACLES: dict[str, str] = {}
