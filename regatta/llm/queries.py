@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regatta.llm import (
     html_blocks,
     language_id,
+    near_vectors,
     packing,
     pii,
     quality_rules,
@@ -31,6 +32,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicate_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -76,8 +81,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op3_pii, op5_secrets, op6_warc, op7_packing, op8_language_id,
-        op9_simhash, op10_html,
+        op1_quality_rules, op2_near_vectors, op3_pii, op5_secrets, op6_warc, op7_packing,
+        op8_language_id, op9_simhash, op10_html,
     )
 }
 ORACLES: dict[str, str] = {}
