@@ -208,9 +208,10 @@ def near_duplicate_classes(
     linked = roots.join(prints, roots["node"] == prints["fp"]).select("fp", "root", "first")
     best = linked.groupBy("root").agg(F.min("first").alias("best"))
     classes = linked.select("fp", "root").join(best, "root").select("fp", "best")
-    known = prints.join(classes, "fp", "left").select(
+    # A table of its own, so that the join below stands alone and a hot fingerprint can be split.
+    known = cut_lineage(prints.join(classes, "fp", "left").select(
         "fp", F.coalesce("best", "first").alias("rep")
-    )
+    ))
     return rows.join(known, "fp", "left").select(
         "doc_id", "text_hash", "fp",
         F.struct(F.col("rep")["doc_id"].alias("doc_id"), F.col("rep")["text_hash"].alias("text_hash"))
