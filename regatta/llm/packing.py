@@ -33,7 +33,8 @@ MEMORY_WORDS = 500_000
 # Letters that composition leaves alone, and up to three marks, which the rules part from them.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]{0,3})")
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+# A missing id would turn a pandas column into doubles, so ids travel as text.
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
 
@@ -132,7 +133,7 @@ def _cut(path: str, capacity: int):
                         doc_id, start, len(piece) // 4, zlib.crc32(piece), total
                     )):
                         out[name].append(value)
-            yield pd.DataFrame(out).astype({"doc_id": batch["doc_id"].dtype})
+            yield pd.DataFrame(out).astype({"doc_id": object})
 
     return cut
 
@@ -140,22 +141,12 @@ def _cut(path: str, capacity: int):
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
 ) -> DataFrame:
-    """``(doc_id, start, length, ids_crc32, doc_tokens)``: every document cut at the capacity."""
+    """``(doc_id, start, length, ids_crc32, doc_tokens)``: every document cut at the capacity; the id is text."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        F.col("doc_id").cast("long").cast("string").alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
-    # A missing id must not turn the column into doubles on its way through pandas.
-    marked = rows.select(
-        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text",
-    ).where(rows["doc_id"].isNotNull())
-    unnamed = rows.select(F.lit(0).cast("long").alias("doc_id"), "text").where(
-        rows["doc_id"].isNull()
-    )
-    named = marked.mapInPandas(_cut(tokenizer_path, capacity), PIECES)
-    nameless = unnamed.mapInPandas(_cut(tokenizer_path, capacity), PIECES).withColumn(
-        "doc_id", F.lit(None).cast("long")
-    )
-    return named.unionByName(nameless)
+    return rows.mapInPandas(_cut(tokenizer_path, capacity), PIECES)
 
 
 def partition(lengths: np.ndarray, windows: int) -> np.ndarray:
@@ -262,4 +253,5 @@ def pack_documents(
         "shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.rand(7)), F.lit(shards))
     )
     dealt = cut_lineage(dealt)
-    return dealt.groupBy("shard").applyInPandas(_pack(capacity), PACKED)
+    packed = dealt.groupBy("shard").applyInPandas(_pack(capacity), PACKED)
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))
