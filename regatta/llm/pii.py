@@ -10,8 +10,6 @@ All of it is DataFrame expressions; no Python runs on the executors.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,19 +81,17 @@ def term_disclosure(found: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Dat
     totals = found.agg(
         F.count(F.lit(1)).alias("all"), *[F.sum(c).alias(k) for k, c in has.items()]
     ).first()
-    parts = []
-    for kind in KINDS:
-        of_kind, everything = totals[kind] or 0, totals["all"]
-        if not of_kind or of_kind == everything:
-            continue
-        share = of_kind / everything
-        ratio = F.log(F.col(kind) / F.col("n") / share) / (-F.log(F.lit(share)))
-        parts.append(counts.where(F.col(kind) >= min_documents).select(
-            "term_hash", F.lit(kind).alias("kind"), ratio.alias("disclosure")
-        ))
-    if not parts:
-        return counts.select("term_hash", F.lit("").alias("kind"), F.lit(0.0).alias("disclosure")).where("false")
-    return reduce(DataFrame.unionByName, parts)
+    everything = totals["all"]
+    shares = {k: totals[k] / everything for k in KINDS if 0 < (totals[k] or 0) < everything}
+    seen = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_kind"), F.lit(p).alias("share"))
+        for k, p in shares.items()
+    ]) if shares else F.array().cast("array<struct<kind:string,n_kind:bigint,share:double>>")
+    rated = counts.select("term_hash", "n", F.explode(seen).alias("k"))
+    ratio = F.log(F.col("k.n_kind") / F.col("n") / F.col("k.share")) / -F.log(F.col("k.share"))
+    return rated.where(F.col("k.n_kind") >= min_documents).select(
+        "term_hash", F.col("k.kind").alias("kind"), ratio.alias("disclosure")
+    )
 
 
 def revealing_terms(
