@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regatta.operators.common import checkpoint_folder
+from regatta.operators.common import checkpoint_folder, cut_lineage
 
 # Fixed values of the formats: version line, line end, base32 letters, the date of all captures.
 VERSION, EOL = "WARC/1.1", "\r\n"
@@ -63,9 +63,10 @@ def with_first_captures(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url"),
         F.coalesce("html", F.lit("")).alias("payload"),
     ).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    first = rows.groupBy("digest").agg(
+    # A table of the repeated payloads alone: its size tells Spark whether the pages must move at all.
+    first = cut_lineage(rows.groupBy("digest").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")
-    ).where(F.col("n") > 1).select("digest", "first")
+    ).where(F.col("n") > 1).select("digest", "first"))
     other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return rows.join(first, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to")
