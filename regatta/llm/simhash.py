@@ -222,14 +222,18 @@ def near_duplicate_classes(
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: the representative of every class, once."""
     classes = near_duplicate_classes(docs)
-    reps = classes.select("rep.*").distinct()
-    tagged = docs.withColumn("_llm_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = tagged["doc_id"].eqNullSafe(reps["doc_id"]) & (tagged["_llm_hash"] == reps["text_hash"])
-    return (
-        tagged.join(reps, same, "left_semi")
-        .dropDuplicates(["doc_id", "_llm_hash"])
-        .drop("_llm_hash")
-    )
+    key = ["_llm_id", "_llm_named", "_llm_hash"]
+
+    def keyed(frame: DataFrame, doc_id: Column, text_hash: Column) -> DataFrame:
+        return frame.withColumns({
+            "_llm_id": F.coalesce(doc_id, F.lit(0)), "_llm_named": doc_id.isNotNull(),
+            "_llm_hash": text_hash,
+        })
+
+    reps = keyed(classes, F.col("rep.doc_id"), F.col("rep.text_hash")).select(*key).distinct()
+    rows = keyed(docs, F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    # One key for the join and for repeated rows: the texts move once.
+    return rows.join(reps, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def hex_of(fp: Column) -> Column:
