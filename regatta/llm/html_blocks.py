@@ -191,6 +191,15 @@ SAMPLE_PAGES = [
      "think of this page, and leave your name and address so that we can answer you.</p></form><div "
      "class='sidebar'><p>Most read in the last seven days by those who live near you and have told us "
      "which parts of the paper they like.</p></div>", "----"),
+    ("<article><h1>Fog</h1><p>Ships waited.</p></article>", "++"),
+    ("<article><p>It rained.</p></article>", "+"),
+    ("<article><p>It rained.</p><p><a href='r'>Rain chart</a></p></article>", "++"),
+    ("<main><p>A storm took the roof of the school on the hill, and lessons are held in the town hall until "
+     "the end of the month.</p></main>", "+"),
+    ("<p>Sign in</p><p>The two teams met for the third time this year, and for the third time neither of "
+     "them could score before the break.</p><p>After it the rain made the field so wet that the ball "
+     "stopped dead wherever it fell to the ground.</p>", "-++"),
+    ("<p>We found nothing here.</p>", "-"),
 ]
 MAX_DEPTH, MIN_LEAF = 6, 1
 
