@@ -25,6 +25,7 @@ from regatta.operators import quality as Q
 from regatta.operators import spectral as S
 from regatta.operators.aggregate import to_long
 from regatta.operators.common import cut_lineage
+from regatta.operators.pairs import copy_members
 from regatta.plans.clustering import cluster, cluster_report
 
 # Cosine distance that keeps a pair in the fleet graph.
@@ -35,6 +36,11 @@ def fleet_graph(spark, sf):
     return G.similarity_graph(fleet(spark, sf), "cosine", REACH)
 
 
+def fleet_nodes(spark, sf):
+    """All nodes of the fleet graph, those without an edge too."""
+    return copy_members(fleet(spark, sf)).select(F.col("rep").alias("node")).distinct()
+
+
 @query("k1_degrees", f"WITH {TRADE} SELECT node, round(k, 4) AS k FROM deg")
 def _degrees(spark, sf):
     return rounded(G.degrees(trade_edges(spark, sf)), "k", digits=4)
@@ -115,7 +121,8 @@ def _leiden_step(spark, sf):
     return G.leiden_step(trade_edges(spark, sf), trade_labels(spark, sf))
 
 
-@query("k6_strongest_neighbour_refine", f"""WITH {TRADE}, best AS (
+@query("k6_strongest_neighbour_refine", f"""WITH {TRADE.replace(" AS (", " AS MATERIALIZED (")},
+best AS MATERIALIZED (
   SELECT e.src, l.community AS best,
          row_number() OVER (PARTITION BY e.src ORDER BY e.w DESC, e.dst) AS r
   FROM edges e JOIN labels l ON l.node = e.dst)
@@ -247,7 +254,7 @@ FROM near n JOIN long l USING (entity) WHERE r = 1 GROUP BY ALL""")
 def _lloyd(spark, sf):
     import numpy as np
 
-    rows = cluster_means(spark, sf).orderBy("cluster").limit(C.CONSENSUS_RUNS).collect()
+    rows = cluster_means(spark, sf).orderBy("cluster").collect()
     centres = np.array([r["vector"] for r in rows])
     return rounded(KM.lloyd_step(fleet(spark, sf), centres, "cosine"), "val")
 
@@ -286,32 +293,33 @@ def _partition_summary(labels):
 
 @query("k5_louvain_partition")
 def _louvain(spark, sf):
-    return _partition_summary(C.louvain(trade_edges(spark, sf), max_passes=3))
+    return _partition_summary(C.louvain(trade_edges(spark, sf)))
 
 
 @query("k9_leiden_partition")
 def _leiden(spark, sf):
     edges = cut_lineage(fleet_graph(spark, sf))
-    return _partition_summary(C.leiden(edges, max_rounds=2, max_sweeps=3))
+    return _partition_summary(C.leiden(edges, nodes=fleet_nodes(spark, sf)))
 
 
 @query("k10_louvain_with_resolution")
 def _louvain_resolution(spark, sf):
     edges = cut_lineage(fleet_graph(spark, sf))
-    return _partition_summary(C.louvain(edges, resolution=0.5, max_passes=4))
+    return _partition_summary(C.louvain(edges, resolution=0.5, nodes=fleet_nodes(spark, sf)))
 
 
 @query("k11_resolution_sweep")
 def _sweep(spark, sf):
     edges = cut_lineage(fleet_graph(spark, sf))
-    labels = C.louvain_runs(edges, C.sweep_resolutions(), max_passes=3)
+    labels = C.louvain_runs(edges, C.sweep_resolutions())
+    labels = C.with_isolated(cut_lineage(labels), fleet_nodes(spark, sf))
     return labels.groupBy("run").agg(F.countDistinct("community").alias("communities"))
 
 
 @query("k14_consensus_clustering")
 def _consensus(spark, sf):
     edges = cut_lineage(fleet_graph(spark, sf))
-    return _partition_summary(C.consensus(edges, "louvain", max_passes=3))
+    return _partition_summary(C.consensus(edges, "louvain", nodes=fleet_nodes(spark, sf)))
 
 
 @query("k15_distance_squared_seeding")
@@ -325,7 +333,7 @@ def _seeding(spark, sf):
 
 @query("k16_kmeans")
 def _kmeans(spark, sf):
-    centres = KM.fit_centres(fleet(spark, sf), 5, "cosine", 15, 42)
+    centres = KM.fit_centres(fleet(spark, sf), 5, "cosine", 100, 42)
     near = KM.nearest_centre(fleet(spark, sf), centres, "cosine")
     return near.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("size"), F.round(F.avg("distance"), 6).alias("distance")
@@ -334,7 +342,7 @@ def _kmeans(spark, sf):
 
 @query("k17_inertia_table")
 def _inertia(spark, sf):
-    return rounded(KM.inertia_table(fleet(spark, sf), "cosine", 3, 42), "inertia")
+    return rounded(KM.inertia_table(fleet(spark, sf), "cosine", 5, 42), "inertia")
 
 
 @query("k19_smallest_eigenvectors")
@@ -356,7 +364,7 @@ def _gap(spark, sf):
 @query("k21_spectral_clustering")
 def _spectral(spark, sf):
     edges = cut_lineage(fleet_graph(spark, sf))
-    return _partition_summary(S.spectral(edges, 3, max_iterations=16))
+    return _partition_summary(S.spectral(edges, 3, nodes=fleet_nodes(spark, sf)))
 
 
 def _report(spark, sf, **options):
@@ -370,7 +378,7 @@ def _report(spark, sf, **options):
 
 @query("k22_cluster_fleet_louvain")
 def _fleet_louvain(spark, sf):
-    return _report(spark, sf, method="louvain", max_passes=4)
+    return _report(spark, sf, method="louvain")
 
 
 @query("k22_cluster_fleet_kmeans")

@@ -375,7 +375,7 @@ def _rounds(spark, sf):
     from regatta.plans.rounds import fit_rounds
 
     history, _ = fit_rounds(
-        _training_rows(spark, sf), SMALL_SHAPE, rounds=2, method="kmeans", k=2, seed=1
+        _training_rows(spark, sf), SMALL_SHAPE, rounds=5, method="kmeans", k=2, seed=1
     )
     return rounded(history, "loss", "accuracy", "silhouette")
 

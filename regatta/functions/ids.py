@@ -13,7 +13,7 @@ ROLLING_FACTOR = 31
 def numeric_suffix(entity_id: Column) -> Column:
     """N of ``client-N``; 0 where there is no such part."""
     digits = F.regexp_extract(entity_id, r"^[^-]*-(\d+)", 1)
-    return F.when(digits == "", F.lit(0)).otherwise(digits.cast("int"))
+    return F.when(digits == "", F.lit(0).cast("long")).otherwise(digits.cast("long"))
 
 
 def rolling_hash(entity_id: Column) -> Column:

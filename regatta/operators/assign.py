@@ -27,7 +27,7 @@ def cluster_vector_or_global(
     entities: DataFrame, cluster_vectors: DataFrame, global_vector: DataFrame
 ) -> DataFrame:
     """``(entity, cluster, vector)``: the vector of the entity's cluster, else the global one."""
-    fallback = global_vector.select("vector").limit(1).scalar()
+    fallback = global_vector.select("vector").scalar()
     found = spread_join(
         entities.select("entity", "cluster"), cluster_vectors.select("cluster", F.col("vector").alias("_v")),
         ["cluster"], ["entity"], "left",

@@ -101,7 +101,7 @@ def copy_members(df: DataFrame, entity: str = "entity", vector: str = "vector")
 
 def relative_to(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Vectors less one reference vector (the only row of ``reference``)."""
-    one = reference.select("vector").limit(1).scalar()
+    one = reference.select("vector").scalar()
     return df.withColumn("_ref", one).withColumn(
         "vector", F.zip_with("vector", "_ref", lambda x, r: x - r)
     ).drop("_ref")

@@ -127,6 +127,8 @@ def score_per_entity(
 
     A shard of an entity's samples meets one copy of its model; a crowded entity is many shards.
     """
+    # Samples of an entity without a model have no score, and no empty group to make.
+    samples = samples.join(models.select("entity"), "entity", "left_semi")
     tagged, plan = _sharded(samples, shard_rows, "score")
     pieces = _per_shard(plan, models.select("entity", F.col("vector").alias("_model")))
     kept = [f for f in samples.schema.fields if f.name != "features"]
@@ -134,7 +136,7 @@ def score_per_entity(
 
     def run(key, data: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if data.empty or model.empty:
-            return pd.DataFrame({c: [] for c in [*names, "probs"]})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*names, "probs"]})
         net = _Net(np.asarray(model["_model"].iat[0], float), n_in, n_hidden, n_out)
         x = np.stack(data["features"].to_numpy()).astype(float)
         return data[names].assign(probs=list(net.forward(x)[1]))
@@ -196,7 +198,8 @@ def train_per_entity(
 
     def fit(key, data: pd.DataFrame, begin_rows: pd.DataFrame) -> pd.DataFrame:
         if data.empty or begin_rows.empty:
-            return pd.DataFrame({"entity": [], "shard": [], "vector": [], "n": [], "loss": []})
+            columns = ("entity", "shard", "vector", "n", "loss")
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
         data = data.sort_values("sample_id")
         x = np.stack(data["features"].to_numpy()).astype(float)
         y = data["label"].to_numpy().astype(int)

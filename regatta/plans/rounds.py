@@ -16,7 +16,7 @@ from regatta.operators.sampling import select_available
 from regatta.operators.scoring import (
     EPOCHS,
     LEARNING_RATE,
-    score_per_entity,
+    score,
     train_per_entity,
     xavier_vector,
 )
@@ -28,6 +28,9 @@ HISTORY = (
 )
 
 
+STATE = ("entity", "vector", "norm", "cluster", "before")
+
+
 def fit_rounds(
     samples: DataFrame,
     shape: tuple[int, int, int],
@@ -44,11 +47,14 @@ def fit_rounds(
     epochs: int = EPOCHS,
     seed: int = 0,
     mu: float = 0.0,
+    test: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """History ``(round, loss, accuracy, ...)`` and the final ``(entity, cluster, vector)``.
 
     ``samples`` is ``(entity, sample_id, features, label)``. The driver holds one model vector and
     a row of scalars per round; every round's vectors are written out before the next one starts.
+    Loss and accuracy are those of the averaged model on ``test`` (on all samples without one). An
+    entity that sits a round out keeps its vector, norm, norm before and cluster.
     """
     spark = samples.sparkSession
     entities = cut_lineage(samples.select("entity").distinct().withColumn("status", F.lit("idle")))
@@ -89,11 +95,17 @@ def fit_rounds(
         state = trained.select("entity", "vector").join(norms, "entity").join(
             part, "entity"
         )
-        previous = cut_lineage(
+        fresh = (
             state.join(old, "entity", "left") if old is not None
             else state.withColumn("before", F.lit(None).cast("double"))
-        )
-        history.append((step, *_evaluate(samples, previous, shape, metric), took))
+        ).select(*STATE)
+        if previous is not None:
+            sat_out = previous.join(fresh.select("entity"), "entity", "left_anti")
+            fresh = fresh.unionByName(sat_out.select(*STATE))
+        previous = cut_lineage(fresh)
+        now = previous.join(trained.select("entity"), "entity", "left_semi")
+        held = samples if test is None else test
+        history.append((step, *_evaluate(held, overall, now, shape, metric), took))
     final = previous.select("entity", "cluster", "vector") if previous is not None else None
     rows = [(s, l, a, sil, n, c, ms) for s, l, a, sil, n, c, ms in history]
     return spark.createDataFrame(rows, HISTORY), final
@@ -119,10 +131,11 @@ def _start_vectors(chosen, previous, centres, overall, mixing, assignment, metri
     )
 
 
-def _evaluate(samples: DataFrame, state: DataFrame, shape, metric: str):
+def _evaluate(held: DataFrame, overall: DataFrame, state: DataFrame, shape, metric: str):
+    """Loss and accuracy of the averaged model on held-out rows; quality of the round's clusters."""
     from regatta.functions.arrays import cross_entropy
 
-    scored = score_per_entity(samples, state.select("entity", "vector"), *shape)
+    scored = score(held, overall.first()["vector"], *shape)
     row = scored.agg(
         F.avg(cross_entropy(F.col("probs"), F.col("label"))).alias("loss"),
         F.avg(hit(F.col("probs"), F.col("label"))).alias("accuracy"),
