@@ -13,6 +13,7 @@ from regatta.llm import (
     language_id,
     near_vectors,
     packing,
+    piece_codec,
     pii,
     quality_rules,
     secrets,
@@ -40,6 +41,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_codec.encode_documents(docs, model).drop("ids")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -81,7 +88,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_near_vectors, op3_pii, op5_secrets, op6_warc, op7_packing,
+        op1_quality_rules, op2_near_vectors, op3_pii, op4_sentencepiece, op5_secrets, op6_warc, op7_packing,
         op8_language_id, op9_simhash, op10_html,
     )
 }
