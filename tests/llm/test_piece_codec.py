@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import public_tokenizers
 from helpers import odd_documents, prose
 
 from regatta.llm import piece_codec, queries
-from regatta.llm.piece_codec import BYTE_SCORE, SPACE, PieceCodec
+from regatta.llm.piece_codec import BYTE_SCORE, LANE, SPACE, PieceCodec
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -37,6 +40,29 @@ def test_parts_are_committed_before_the_end():
     assert len(parts) > 10 and codec.decode(codec.encode("q")) == "q"
 
 
+def test_lanes_take_the_steps_of_a_lone_walk():
+    codec = PieceCodec(PATH)
+    rng = random.Random(4)
+    letters = ["a", "e", "n", "t", "s", "th", "ing", "é", "漢", "😀", "\n", "0", ".", "\0", SPACE]
+    words = {SPACE * rng.randint(0, 3) + "".join(rng.choices(letters[:-1], k=rng.randint(1, 25))) for _ in range(3000)}
+    words |= {SPACE, SPACE * 60, "q", "x" * 64}
+    codec._learn([w for w in words if len(w) <= LANE])
+    for word in words:
+        if len(word) <= LANE:
+            alone = [i for part in codec.viterbi(word) for i in part]
+            assert np.frombuffer(codec.known[word], "<u4").tolist() == alone
+
+
+def test_what_is_remembered_stays_bounded(monkeypatch):
+    monkeypatch.setattr(piece_codec, "MEMORY", 50)
+    codec = PieceCodec(PATH)
+    texts = [" ".join(f"w{i}{j}" for j in range(60)) + " " + "y" * 200 for i in range(5)]
+    whole = PieceCodec(PATH).encode_all(texts)
+    for text, ids in zip(texts, whole):
+        assert codec.encode(text) == ids.tolist()
+        assert len(codec.known) < 120 and max(len(w or "") for w in codec.known) <= LANE
+
+
 def test_documents(spark, sf_dir):
     rows = queries.op4_sentencepiece(spark, sf_dir).collect()
     assert rows and all(r["round_trip"] and r["n_ids"] > 0 for r in rows)
