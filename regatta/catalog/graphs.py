@@ -240,7 +240,7 @@ def _silhouette_l2(spark, sf):
     ))
     part = means.select("entity", (F.col("entity") % 3).cast("int").alias("cluster"))
     return rounded(
-        Q.silhouette_from_distances(pair_distances(means, "l2"), part), "silhouette"
+        Q.silhouette_from_distances(pair_distances(means, "l2", all_pairs=True), part), "silhouette"
     )
 
 

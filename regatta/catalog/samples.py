@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from regatta.catalog.base import (
@@ -249,10 +250,18 @@ HIDDEN, OUT = 3, 10
 SMALL_SHAPE = (DIM, HIDDEN, OUT)
 
 
+def every(step: int, first: int) -> Column:
+    """Sum of every ``step``-th value of the vector from the place ``first`` on."""
+    return A.array_sum(F.filter("vector", lambda _, i: F.pmod(i, F.lit(step)) == first))
+
+
+def every_sql(step: int, first: str | int) -> str:
+    return f"list_sum(list_slice(vector, {first} + 1, len(vector), {step}))"
+
+
 def _probs(spark, sf):
-    """Class probabilities of every row: softmax over block sums of its vector."""
-    blocks = A.reshape(F.col("vector"), 10, 6)
-    logits = F.transform(blocks, lambda b: A.array_sum(b) * 4)
+    """Class probabilities of every row: softmax over the sums of every tenth value of its vector."""
+    logits = F.array(*[every(10, r) * 4 for r in range(10)])
     return fleet(spark, sf).select(
         "entity", F.col("cluster").alias("label"), A.softmax(logits).alias("probs")
     )
@@ -260,7 +269,7 @@ def _probs(spark, sf):
 
 PROBS_SQL = f"""{FLEET}, logit AS (
   SELECT entity, cluster AS label, list_transform(range(10),
-         lambda r: list_sum(vector[r * 6 + 1 : r * 6 + 6]) * 4) AS z FROM fleet),
+         lambda r: {every_sql(10, 'r')} * 4) AS z FROM fleet),
 ex AS (SELECT entity, label, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM logit),
 pred AS (SELECT entity, label, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM ex),
 scored AS (
@@ -386,12 +395,11 @@ def _pca(spark, sf):
 
 
 @query("t6_scale_to_box", f"""WITH {FLEET}, c AS (
-  SELECT entity, vector[1] * 9 AS x, vector[2] * 9 AS y, vector[3] * 9 AS z FROM fleet),
+  SELECT entity, {every_sql(3, 0)} * 9 AS x, {every_sql(3, 1)} * 9 AS y, {every_sql(3, 2)} * 9 AS z FROM fleet),
 f AS (SELECT 5 / greatest(max(greatest(abs(x), abs(y), abs(z))), 1) AS f FROM c)
 SELECT entity, round(x * f, 6) AS x, round(y * f, 6) AS y, round(z * f, 6) AS z FROM c, f""")
 def _box(spark, sf):
-    v = F.col("vector")
-    raw = fleet(spark, sf).select("entity", *[(v[i] * 9).alias(a) for i, a in enumerate("xyz")])
+    raw = fleet(spark, sf).select("entity", *[(every(3, i) * 9).alias(a) for i, a in enumerate("xyz")])
     return rounded(projection.scale_to_box(raw), "x", "y", "z")
 
 

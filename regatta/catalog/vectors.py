@@ -121,16 +121,16 @@ def _flatten(spark, sf):
 
 @query("p2_unflatten_model", f"""WITH {LONG}
 SELECT entity,
-       CASE WHEN idx < 24 THEN 'W1' WHEN idx < 32 THEN 'b1' WHEN idx < 56 THEN 'W2' ELSE 'b2' END AS part,
-       (CASE WHEN idx < 24 THEN idx // 8 WHEN idx < 32 THEN 0 WHEN idx < 56 THEN (idx - 32) // 3
+       CASE WHEN idx < 30 THEN 'W1' WHEN idx < 36 THEN 'b1' WHEN idx < 60 THEN 'W2' ELSE 'b2' END AS part,
+       (CASE WHEN idx < 30 THEN idx // 6 WHEN idx < 36 THEN 0 WHEN idx < 60 THEN (idx - 36) // 4
              ELSE 0 END)::INT AS row_no,
-       (CASE WHEN idx < 24 THEN idx % 8 WHEN idx < 32 THEN idx - 24 WHEN idx < 56 THEN (idx - 32) % 3
-             ELSE idx - 56 END)::INT AS col_no,
+       (CASE WHEN idx < 30 THEN idx % 6 WHEN idx < 36 THEN idx - 30 WHEN idx < 60 THEN (idx - 36) % 4
+             ELSE idx - 60 END)::INT AS col_no,
        round(val, 6) AS val
-FROM long WHERE idx < 59""")
+FROM long""")
 def _unflatten(spark, sf):
     parts = fleet(spark, sf).select(
-        "entity", A.unflatten_parts(F.col("vector"), 3, 8, 3).alias("m")
+        "entity", A.unflatten_parts(F.col("vector"), 5, 6, 4).alias("m")
     )
     tables = []
     for name in ("W1", "b1", "W2", "b2"):
@@ -225,7 +225,7 @@ FROM means a JOIN means b ON a.cluster < b.cluster"""
 for _metric in ("l1", "l2", "cosine"):
     @query(f"v4_fleet_distances_{_metric}", _dense_sql(_metric))
     def _dense(spark, sf, metric=_metric):
-        return rounded(pairs.pair_distances(_as_fleet(cluster_means(spark, sf)), metric), "d")
+        return rounded(pairs.pair_distances(_as_fleet(cluster_means(spark, sf)), metric, all_pairs=True), "d")
 
 
 def _bounded_sql(metric: str, bound: float) -> str:
@@ -255,7 +255,7 @@ def _relative(spark, sf):
         agg.vector_aggregate(everything.withColumn("all", F.lit(0)), ["all"], "simple"), ["all"]
     )
     means = pairs.relative_to(_as_fleet(cluster_means(spark, sf)), overall)
-    return rounded(pairs.pair_distances(means, "cosine"), "d")
+    return rounded(pairs.pair_distances(means, "cosine", all_pairs=True), "d")
 
 
 @query("v6_exponential_kernel", f"""WITH {MEANS}, d AS (
@@ -266,7 +266,7 @@ def _kernel(spark, sf):
     from regatta.operators.graph import kernel_weights
 
     means = _as_fleet(cluster_means(spark, sf))
-    d = pairs.pair_distances(means, "cosine")
+    d = pairs.pair_distances(means, "cosine", all_pairs=True)
     return rounded(kernel_weights(d, pairs.mean_pairwise(means, "cosine").scalar()), "w")
 
 
@@ -281,7 +281,7 @@ def _matrix(spark, sf):
     from regatta.operators.graph import both_directions, kernel_weights
 
     means = _as_fleet(cluster_means(spark, sf))
-    d = pairs.pair_distances(means, "l2")
+    d = pairs.pair_distances(means, "l2", all_pairs=True)
     w = both_directions(kernel_weights(d, pairs.mean_pairwise(means, "l2").scalar()))
     own = means.select(
         F.col("entity").cast("long").alias("src"), F.col("entity").cast("long").alias("dst"),
@@ -303,7 +303,7 @@ def _difference(spark, sf):
         "entity",
         A.flatten_parts(F.col("w1"), F.col("b1"), F.col("w2"), F.col("b2")).alias("vector"),
     )
-    return rounded(pairs.pair_distances(flat, "l1"), "d")
+    return rounded(pairs.pair_distances(flat, "l1", all_pairs=True), "d")
 
 
 MIX = f"""WITH {FLEET}, prev AS (

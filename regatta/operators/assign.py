@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regatta.functions.arrays import array_sum, distance, midpoint
 from regatta.functions.hashing import hash_uniform
-from regatta.operators.common import lookup, spread_join
+from regatta.operators.common import LOOKUP_LIMIT, lookup, spread_join
+from regatta.operators.kmeans import distances_to
 
 # Distances under EPSILON count as zero, probabilistic assignment runs for the first
 # PROBABILISTIC_ROUNDS rounds, and a norm has risen when it is RISE times the one before.
 EPSILON = 1e-6
 PROBABILISTIC_ROUNDS = 5
 RISE = 1.2
+# Centres and entities of one task where the centres are too many, or too wide, for a scalar.
+BLOCK_CENTRES, BLOCK_ENTITIES = 1024, 8192
+# Bytes of centre vectors that may travel as a scalar.
+LOOKUP_BYTES = 64 << 20
+# Distances this close are measured once more before one wins.
+TIE = 1e-9
 
 
 def member_rows(df: DataFrame, partition: DataFrame) -> DataFrame:
@@ -46,15 +55,86 @@ def _distances(entities: DataFrame, centres: DataFrame, metric: str) -> DataFram
     )
 
 
+def _row_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row of ``x`` to the same row of ``y``."""
+    if metric == "l1":
+        return np.abs(x - y).sum(1)
+    if metric == "l2":
+        return np.sqrt(((x - y) ** 2).sum(1))
+    scale = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))
+    return 1.0 - np.divide((x * y).sum(1), scale, out=np.zeros(len(x)), where=scale > 0)
+
+
+def _fits_lookup(centres: DataFrame) -> bool:
+    """Whether the centres are few and narrow enough to be one scalar."""
+    size = centres.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vector")).alias("values")).first()
+    return size["n"] <= LOOKUP_LIMIT and 8 * (size["values"] or 0) <= LOOKUP_BYTES
+
+
+def _block_products(entities: DataFrame, centres: DataFrame, metric: str, best: bool) -> DataFrame:
+    """``(entity, cluster, d)`` from blocks of entities against blocks of centres.
+
+    With ``best`` a task returns one row per entity, so the rows that follow are entities times
+    blocks and not entities times centres.
+    """
+    blocks = max(1, -(-centres.count() // BLOCK_CENTRES))
+    shards = max(1, -(-entities.count() // BLOCK_ENTITIES))
+
+    def numbers(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    left = entities.select(
+        "entity", vector, F.pmod(F.xxhash64("entity"), F.lit(shards)).cast("int").alias("_s"),
+        numbers(blocks).alias("_b"),
+    )
+    right = centres.select(
+        "cluster", vector, F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int").alias("_b"),
+        numbers(shards).alias("_s"),
+    )
+
+    def work(x: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or c.empty:
+            return pd.DataFrame({"entity": x["entity"][:0], "cluster": c["cluster"][:0], "d": []})
+        c = c.sort_values("cluster")
+        d = distances_to(np.stack(x["vector"].to_numpy()), np.stack(c["vector"].to_numpy()), metric)
+        if best:
+            # Products of matrices round by their shape: what lies close to the best is measured anew,
+            # row by row, so that equal centres tie whatever the block.
+            i, j = np.nonzero(d <= d.min(1, keepdims=True) + TIE)
+            fine = _row_distances(np.stack(x["vector"].to_numpy()[i]), np.stack(c["vector"].to_numpy()[j]), metric)
+            order = np.lexsort((j, fine, i))
+            order = order[np.unique(i[order], return_index=True)[1]]
+            i, j, d = i[order], j[order], fine[order]
+        else:
+            i, j = (at.ravel() for at in np.indices(d.shape))
+            d = d.ravel()
+        return pd.DataFrame({"entity": x["entity"].to_numpy()[i], "cluster": c["cluster"].to_numpy()[j], "d": d})
+
+    kinds = {**dict(entities.dtypes), **dict(centres.dtypes)}
+    schema = f"entity {kinds['entity']}, cluster {kinds['cluster']}, d double"
+    return left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(work, schema)
+
+
 def centre_distances(entities: DataFrame, centres: DataFrame, metric: str = "cosine") -> DataFrame:
-    """``(entity, cluster, d)``: every entity against every one of a bounded set of centres."""
+    """``(entity, cluster, d)``: every entity against every centre."""
+    if not _fits_lookup(centres):
+        return _block_products(entities, centres, metric, best=False)
     return _distances(entities, centres, metric).select(
         "entity", F.explode("dists").alias("_e")
     ).select("entity", F.col("_e.cluster").alias("cluster"), F.col("_e.d").alias("d"))
 
 
 def nearest(entities: DataFrame, centres: DataFrame, metric: str = "cosine") -> DataFrame:
-    """``(entity, cluster, d)`` of the nearest centre; the lowest cluster wins ties."""
+    """``(entity, cluster, d)`` of the nearest centre; the lowest cluster wins ties.
+
+    Entities are unique.
+    """
+    if not _fits_lookup(centres):
+        found = _block_products(entities, centres, metric, best=True).groupBy("entity").agg(
+            F.min(F.struct("d", "cluster")).alias("_n")
+        )
+        return found.select("entity", F.col("_n.cluster").alias("cluster"), F.col("_n.d").alias("d"))
     best = F.array_min(F.transform("dists", lambda e: F.struct(e["d"].alias("d"), e["cluster"].alias("cluster"))))
     return _distances(entities, centres, metric).select("entity", best.alias("_b")).select(
         "entity", F.col("_b.cluster").alias("cluster"), F.col("_b.d").alias("d")

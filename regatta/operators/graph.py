@@ -47,11 +47,12 @@ def similarity_graph(
     sigma: float | None = None,
     entity: str = "entity",
     vector: str = "vector",
+    all_pairs: bool = False,
 ) -> DataFrame:
     """Exponential-kernel graph, both directions.
 
     ``max_distance`` keeps all pairs inside the bound, ``k`` each entity's nearest (made
-    symmetric), neither the full graph of a small fleet. Copies of one vector become a node with a
+    symmetric), ``all_pairs`` the full graph, quadratic in the fleet. Copies of one vector become a node with a
     self edge, and the weight of an edge between two such nodes is that of all their links.
     """
     nodes = cut_lineage(collapse_copies(df, entity, vector))
@@ -64,7 +65,7 @@ def similarity_graph(
             F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "d"
         ).groupBy("src", "dst").agg(F.min("d").alias("d"))
     else:
-        pairs = pair_distances(nodes, metric, max_distance)
+        pairs = pair_distances(nodes, metric, max_distance, all_pairs=all_pairs)
     weighted = kernel_weights(pairs, width)
     crowds = nodes.filter(F.col("copies") > 1).select("entity", "copies")
     if not crowds.isEmpty():

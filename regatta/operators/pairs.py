@@ -27,8 +27,6 @@ BLOCK_ROWS = (16, 1024)
 # Pivots tried for pruning, and the share of the full pair count below which it is worth it.
 PIVOTS = 32
 PRUNE_GAIN = 0.5
-# Dense output (no bound, no k) is for fleets of at most this many entities.
-DENSE_LIMIT = 5000
 
 EDGE_SCHEMA = "src long, dst long, d double"
 
@@ -268,16 +266,15 @@ def pair_distances(
     max_distance: float | None = None,
     entity: str = "entity",
     vector: str = "vector",
+    all_pairs: bool = False,
 ) -> DataFrame:
     """``(src, dst, d)`` with ``src < dst``, each pair once.
 
-    Without ``max_distance`` the whole matrix is asked for; that is for fleets up to
-    ``DENSE_LIMIT`` entities. Larger sets take a bound, or ``nearest_neighbours``.
+    The pairs within ``max_distance``, or with ``all_pairs`` the whole matrix: as many rows as it
+    has cells, in tasks of bounded size, whatever the size of the fleet.
     """
-    if max_distance is None:
-        over = df.limit(DENSE_LIMIT + 1).count() > DENSE_LIMIT
-        if over:
-            raise ValueError(f"more than {DENSE_LIMIT} entities: give max_distance, or ask for k")
+    if max_distance is None and not all_pairs:
+        raise ValueError("give max_distance, or ask for all_pairs, which are as many as the cells of the matrix")
     blocks = make_blocks(df, metric, max_distance, entity, vector)
     if blocks is None:
         return df.sparkSession.createDataFrame([], EDGE_SCHEMA)

@@ -48,13 +48,17 @@ def fit_rounds(
     seed: int = 0,
     mu: float = 0.0,
     test: DataFrame | None = None,
+    max_distance: float | None = None,
+    neighbours: int | None = None,
+    all_pairs: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """History ``(round, loss, accuracy, ...)`` and the final ``(entity, cluster, vector)``.
 
     ``samples`` is ``(entity, sample_id, features, label)``. The driver holds one model vector and
     a row of scalars per round; every round's vectors are written out before the next one starts.
     Loss and accuracy are those of the averaged model on ``test`` (on all samples without one). An
-    entity that sits a round out keeps its vector, norm, norm before and cluster.
+    entity that sits a round out keeps its vector, norm, norm before and cluster. Graph methods take
+    ``max_distance``, ``neighbours`` or ``all_pairs`` as ``cluster`` does.
     """
     spark = samples.sparkSession
     entities = cut_lineage(samples.select("entity").distinct().withColumn("status", F.lit("idle")))
@@ -78,7 +82,10 @@ def fit_rounds(
             train_per_entity(taking, begin, shape, rate, epochs, seed + step, mu)
             .withColumn("weight", F.col("n").cast("double"))
         )
-        part = cut_lineage(cluster(trained, method, metric, k=k, seed=seed + step))
+        part = cut_lineage(cluster(
+            trained, method, metric, k=k, seed=seed + step, max_distance=max_distance,
+            neighbours=neighbours, all_pairs=all_pairs,
+        ))
         begun = time.monotonic()
         labelled = trained.join(part, "entity")
         centres = cut_lineage(

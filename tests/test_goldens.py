@@ -75,7 +75,7 @@ def points(spark):
 def test_kernel(points):
     sigma = agg.mean_pairwise_l1(points)
     assert sigma.first()[0] == 8.0
-    w = G.kernel_weights(P.pair_distances(points, "l1"), sigma.scalar())
+    w = G.kernel_weights(P.pair_distances(points, "l1", all_pairs=True), sigma.scalar())
     got = {(r.src, r.dst): r.w for r in w.collect()}
     want = {(0, 1): .882497, (0, 2): .286505, (0, 3): .196912, (1, 2): .324652, (1, 3): .223130, (2, 3): .687289}
     assert got == pytest.approx(want, abs=1e-6)
@@ -89,7 +89,7 @@ def test_kernel(points):
 def test_silhouette(spark, points, labels, want, means):
     part = spark.createDataFrame(list(enumerate(labels)), "entity long, cluster int")
     for per in (
-        quality.silhouette_from_distances(P.pair_distances(points, "l1"), part),
+        quality.silhouette_from_distances(P.pair_distances(points, "l1", all_pairs=True), part),
         quality.silhouette(points.join(part, "entity"), "l1"),
     ):
         rows = per.orderBy("cluster").collect()

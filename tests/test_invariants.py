@@ -165,8 +165,8 @@ def test_layout_does_not_matter(planted, parts):
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], "entity long, vector array<double>")
     one = spark.createDataFrame([(1, [1.0, 2.0])], "entity long, vector array<double>")
-    assert P.pair_distances(none, "l2").count() == 0
-    assert P.pair_distances(one, "l2").count() == 0
+    assert P.pair_distances(none, "l2", all_pairs=True).count() == 0
+    assert P.pair_distances(one, "l2", all_pairs=True).count() == 0
     assert agg.mean_pairwise_cosine(none).first()[0] == 1.0
     assert KM.kmeans(none, 3).count() == 0
     assert [r.cluster for r in KM.kmeans(one, 3).collect()] == [0]
@@ -174,11 +174,11 @@ def test_empty_and_single(spark):
     assert G.modularity(edges, spark.createDataFrame([(1, 1)], "node long, community long")).first()[0] == 0.0
 
 
-def test_dense_output_has_a_size_check(spark, monkeypatch):
-    monkeypatch.setattr(P, "DENSE_LIMIT", 3)
+def test_the_whole_matrix_must_be_asked_for(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "entity long, vector array<double>")
     with pytest.raises(ValueError):
         P.pair_distances(df, "l1")
+    assert P.pair_distances(df, "l1", all_pairs=True).count() == 10
 
 
 def test_components(spark):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regatta.functions.ids import numeric_suffix
+from regatta.operators import assign as A
 from regatta.operators import communities as C
 from regatta.operators import kmeans as KM
 from regatta.operators.assign import cluster_vector_or_global
@@ -69,3 +70,21 @@ def test_a_second_global_row_is_an_error(spark):
 def test_long_id_numbers(spark):
     ids = spark.createDataFrame([("client-99999999999",), ("x",)], "id string")
     assert [r[0] for r in ids.select(numeric_suffix(F.col("id"))).collect()] == [99999999999, 0]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l1", "l2"])
+def test_more_centres_than_a_scalar_takes(spark, monkeypatch, metric):
+    rng = np.random.default_rng(5)
+    fleet = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)],
+                                  "entity long, vector array<double>")
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(37)]
+    centres = spark.createDataFrame([*rows, (99, rows[3][1])], "cluster long, vector array<double>")
+    plain = [{(r["entity"], r["cluster"]): r["d"] for r in f(fleet, centres, metric).collect()}
+             for f in (A.nearest, A.centre_distances)]
+    for name, value in (("LOOKUP_LIMIT", 5), ("BLOCK_CENTRES", 8), ("BLOCK_ENTITIES", 16)):
+        monkeypatch.setattr(A, name, value)
+    for f, wanted in zip((A.nearest, A.centre_distances), plain):
+        got = {(r["entity"], r["cluster"]): r["d"] for r in f(fleet, centres, metric).collect()}
+        assert got.keys() == wanted.keys()
+        assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    assert A.nearest(fleet.limit(0), centres, metric).count() == 0
