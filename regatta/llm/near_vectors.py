@@ -1,18 +1,19 @@
-"""Near-duplicate vectors by robust-pruned flat graphs over overlapping cluster shards.
+"""Near-duplicate vectors by exact comparison of cluster shards.
 
-Every distinct vector goes to the shards of its ``OVERLAP`` nearest centres. A shard (in blocks of at
-most ``BLOCK_NODES``, if it is larger) gets a flat graph: each node keeps near neighbours that no kept
-one is clearly nearer to, some far ones, and the links back. The adjacency lists of a vector from all
-its shards are united. A search walks greedily from the medoid with a beam, then widens over all nodes
-in range. Each shard audits the search against plain comparison on every twentieth query and repeats
-it with twice the beam while too few links are found. Every link is verified in double precision.
+Every distinct vector goes to the shard of its nearest centre. Shards lie one after the other and are
+cut into parts of bounded size, a crowded shard into several, so no group makes one task. Every two
+parts meet in a task of their own. There, blocks of two shards are compared in double precision,
+unless the angle between their middles shows that no vector of one can be near one of the other. So
+every link is found, whatever the size of the table and of its groups.
 
-Links are counted where both ends meet first, and only counts and edges to local roots leave a shard,
-so a group of thousands of near copies gives as many rows as it has members.
+Only counts and edges to local roots leave a task, so a group of thousands of near copies gives as
+many rows as its members meet parts.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,19 +24,16 @@ from regatta.operators.common import cut_lineage
 
 # Fixed value of the contract.
 COSINE = 0.95
-# Shards per vector, vectors per shard in the mean, largest block, centres at most.
-OVERLAP, SHARD_NODES, BLOCK_NODES, MAX_CENTRES = 3, 1000, 2048, 4096
+# Vectors per shard in the mean, most vectors compared as one block, centres at most.
+SHARD_NODES, BLOCK_NODES, MAX_CENTRES = 1000, 2048, 4096
 # Vectors per centre, at most, in the sample that the centres are fitted on.
 SAMPLE_PER_CENTRE, ROUNDS = 24, 8
-# Graph: neighbours kept, nearest and other candidates, slack of the pruning rule.
-DEGREE, NEAREST, FAR, ALPHA = 16, 64, 16, 1.2
-# Search: first beam, how far below the range it still widens, and the recall an audit asks for.
-BEAM, SLACK, RECALL = 16, 0.03, 0.995
-AUDIT_EVERY = 20
-CHUNK = 256
-
-SHARDS = "cid long, unit array<double>, n long, shard int, shards array<int>"
-ADJACENCY = "cid long, near array<long>"
+# Parts of a small table, and the numbers (rows by length) that a part of a large one holds at most.
+PARTS, PART_NUMBERS = 8, 1 << 22
+# Slack of the angle below which blocks are compared, far above the rounding of double precision.
+ROUNDING = 1e-6
+
+SHARDS = "cid long, unit array<double>, n long, shard long, width long"
 FOUND = "cid long, links long, root long"
 
 
@@ -86,7 +84,7 @@ def _centres_by_width(classes: DataFrame, shard_nodes: int) -> dict[int, np.ndar
     return centres
 
 
-def _assign(centres: dict[int, np.ndarray], overlap: int):
+def _assign(centres: dict[int, np.ndarray]):
     starts, at = {}, 0
     for width in sorted(centres):
         starts[width] = at
@@ -98,220 +96,97 @@ def _assign(centres: dict[int, np.ndarray], overlap: int):
             for width in np.unique(widths):
                 part = batch[widths == width]
                 near = np.stack(part["unit"].to_numpy()) @ centres[width].T
-                m = min(overlap, near.shape[1])
-                best = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < near.shape[1] else np.tile(
-                    np.arange(m), (len(part), 1))
-                shards = np.sort(best + starts[width], axis=1).astype(np.int32)
-                yield pd.DataFrame({
-                    "cid": np.repeat(part["cid"].to_numpy(), m),
-                    "unit": np.repeat(part["unit"].to_numpy(), m),
-                    "n": np.repeat(part["n"].to_numpy(), m),
-                    "shard": shards.ravel(),
-                    "shards": [s for s in shards for _ in range(m)],
-                })
+                yield part.assign(shard=near.argmax(axis=1) + starts[width], width=width)
 
     return assign
 
 
-def prune(gram: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Robust-pruned neighbours of every node, ``-1`` where there are fewer.
-
-    Candidates are the nearest nodes and some spread over all; going from near to far, one is kept
-    unless a kept one is nearer to it than the node itself by the factor ``alpha``.
-    """
-    n = len(gram)
-    own = np.arange(n)[:, None]
-    m = min(NEAREST, n - 1)
-    if m <= 0:
-        return np.full((n, 1), -1, np.int64)
-    ranked = np.where(np.eye(n, dtype=bool), -2.0, gram)
-    near = np.argpartition(-ranked, m - 1, axis=1)[:, :m]
-    far = (own + np.linspace(1, n - 1, min(FAR, n - 1)).astype(int)) % n
-    cand = np.concatenate([near, far], axis=1)
-    score = ranked[own, cand]
-    order = np.argsort(-score, axis=1, kind="stable")
-    cand, score = cand[own, order], score[own, order]
-    # A candidate named twice stands next to itself.
-    alive = np.ones(cand.shape, bool)
-    alive[:, 1:] &= cand[:, 1:] != cand[:, :-1]
-    gap = np.maximum(2 - 2 * score, 0)
-    kept = np.full((n, degree), -1, np.int64)
-    rows = np.arange(n)
-    for slot in range(degree):
-        first = alive.argmax(axis=1)
-        some = alive[rows, first]
-        if not some.any():
-            break
-        pick = cand[rows, first]
-        kept[some, slot] = pick[some]
-        between = np.maximum(2 - 2 * gram[pick[:, None], cand], 0)
-        alive &= ~((alpha * alpha * between <= gap) & some[:, None])
-        alive[rows, first] = False
-    return kept
-
-
-def _build(key: tuple, nodes: pd.DataFrame) -> pd.DataFrame:
-    units = np.stack(nodes["unit"].to_numpy())
-    cid = nodes["cid"].to_numpy()
-    near = prune((units @ units.T))
-    a, slot = np.nonzero(near >= 0)
-    b = near[a, slot]
-    # Links back, so that every node can be reached from those it knows.
-    both = np.unique(np.concatenate([a * len(cid) + b, b * len(cid) + a]))
-    a, b = both // len(cid), both % len(cid)
-    parts = np.split(cid[b], np.searchsorted(a, np.arange(1, len(cid))))
-    return pd.DataFrame({"cid": cid, "near": parts})
-
-
-def search(
-    queries: np.ndarray, nodes: np.ndarray, near: np.ndarray, start: int, beam: int, floor: float
-) -> np.ndarray:
-    """Similarities of the nodes that a beam walk from ``start`` saw, ``-2`` for all others."""
-    n, m = len(queries), len(nodes)
-    score = np.full((n, m), -2.0)
-    spread = np.zeros((n, m), bool)
-
-    def see(q: np.ndarray, v: np.ndarray) -> None:
-        for at in range(0, len(q), 1 << 15):
-            s, t = q[at: at + (1 << 15)], v[at: at + (1 << 15)]
-            score[s, t] = np.einsum("ij,ij->i", queries[s], nodes[t])
-
-    def widen(q: np.ndarray, v: np.ndarray) -> None:
-        for at in range(0, len(q), 1 << 15):
-            s, t = q[at: at + (1 << 15)], v[at: at + (1 << 15)]
-            spread[s, t] = True
-            around = near[t]
-            row, slot = np.nonzero(around >= 0)
-            to, of = around[row, slot], s[row]
-            new = score[of, to] == -2.0
-            pair = np.unique(of[new] * m + to[new])
-            see(pair // m, pair % m)
-
-    see(np.arange(n), np.full(n, start))
-    width = min(beam, m)
-    while True:
-        top = np.argpartition(-score, width - 1, axis=1)[:, :width]
-        rows = np.arange(n)[:, None]
-        fresh = (score[rows, top] > -2.0) & ~spread[rows, top]
-        if not fresh.any():
-            break
-        q, slot = np.nonzero(fresh)
-        widen(q, top[q, slot])
-    while (fresh := (score >= floor) & ~spread).any():
-        widen(*np.nonzero(fresh))
-    return score
-
-
-def _adjacency(cid: np.ndarray, lists: list) -> np.ndarray:
-    """United lists as places in the block; neighbours of other blocks are left out."""
-    sizes = np.array([len(x) for x in lists])
-    flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if sizes.sum() else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(lists)), sizes)
-    order = np.argsort(cid, kind="stable")
-    at = np.searchsorted(cid[order], flat)
-    known = (at < len(cid)) & (cid[order][np.minimum(at, len(cid) - 1)] == flat)
-    row, to = row[known], order[at[known]]
-    width = max(1, int(np.bincount(row, minlength=1).max()) if len(row) else 1)
-    near = np.full((len(lists), width), -1, np.int64)
-    begin = np.searchsorted(row, np.arange(len(lists)))
-    near[row, np.arange(len(row)) - begin[row]] = to
-    return near
-
-
-def _with_bridges(units: np.ndarray, near: np.ndarray, start: int) -> np.ndarray:
-    """The lists with a bridge to every part that the medoid does not reach."""
-    n = len(units)
-    a, slot = np.nonzero(near >= 0)
-    label = local_components(n, a, near[a, slot])
-    heads = np.unique(label[label != label[start]])
-    if not len(heads):
-        return near
-    wide = np.full((n, near.shape[1] + 1), -1, np.int64)
-    wide[:, :-1] = near
-    # One after the other: the medoid's last place leads to the first, that one's to the next.
-    wide[np.append(start, heads[:-1]), -1] = heads
-    return wide
-
-
-def _find(cosine: float):
-    def find(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        shard, low, high = (int(x) for x in key)
-        group = group.sort_values("cid", ignore_index=True)
-        units = np.stack(group["unit"].to_numpy())
-        cid, weight = group["cid"].to_numpy(), group["n"].to_numpy()
-        block = group["block"].to_numpy()
-        node, ask = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(node) or not len(ask):
-            return pd.DataFrame({"cid": [], "links": [], "root": []}, dtype="int64")
-        start = int((units[node] @ units[node].mean(axis=0)).argmax())
-        near = _with_bridges(units[node], _adjacency(cid[node], group["near"].iloc[node].tolist()), start)
-        audit = (cid[ask] % AUDIT_EVERY) == 0
-        beam = BEAM
-        while True:
-            pairs, right, wanted = [], 0, 0
-            for at in range(0, len(ask), CHUNK):
-                own = ask[at: at + CHUNK]
-                score = search(units[own], units[node], near, start, beam, cosine - SLACK)
-                q, v = np.nonzero(score >= cosine)
-                pairs.append(np.stack([own[q], node[v]]))
-                checked = np.flatnonzero(audit[at: at + CHUNK])
-                plain = units[own[checked]] @ units[node].T >= cosine
-                wanted += int(plain.sum())
-                right += int((plain & (score[checked] >= cosine)).sum())
-            if right >= RECALL * wanted or beam >= len(node):
-                break
-            beam *= 2
-        a, b = np.concatenate(pairs, axis=1)
-        keep = a != b
-        pair = np.unique(np.minimum(a, b)[keep] * len(cid) + np.maximum(a, b)[keep])
-        a, b = pair // len(cid), pair % len(cid)
-        # Of the shards that two vectors share, the first one counts their link.
-        lists = group["shards"]
-        width = int(lists.map(len).max())
-        of = np.stack([np.pad(np.asarray(x, np.int64), (0, width - len(x)), constant_values=-1)
-                       for x in lists])
-        links = np.zeros(len(cid), np.int64)
-        for s in range(0, len(a), 1 << 18):
-            x, y = a[s: s + (1 << 18)], b[s: s + (1 << 18)]
-            same = (of[x][:, :, None] == of[y][:, None, :]).any(axis=2) & (of[x] >= 0)
-            first = np.where(same, of[x], np.iinfo(np.int64).max).min(axis=1) == shard
-            np.add.at(links, x[first], weight[y[first]])
-            np.add.at(links, y[first], weight[x[first]])
-        label = local_components(len(cid), a, b)
-        told = (links > 0) | (label != np.arange(len(cid)))
-        return pd.DataFrame({"cid": cid[told], "links": links[told], "root": cid[label[told]]})
-
-    return find
+def _chunks(side: pd.DataFrame, block_nodes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Places, vectors, middle and angle around it, for at most so many vectors of one shard each."""
+    shard = side["shard"].to_numpy()
+    out = []
+    for own in np.split(np.arange(len(shard)), np.flatnonzero(shard[1:] != shard[:-1]) + 1):
+        for at in range(0, len(own), block_nodes):
+            part = own[at: at + block_nodes]
+            units = np.stack(side["unit"].iloc[part].to_numpy())
+            middle = units.sum(axis=0)
+            norm = np.linalg.norm(middle)
+            middle = middle / norm if norm > 0 else units[0]
+            out.append((part, units, middle, float(_angle(units @ middle).max())))
+    return out
+
+
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
+def _compare(cosine: float, block_nodes: int):
+    reach = float(_angle(np.array(cosine))) + ROUNDING
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = (int(x) for x in key)
+        rows = rows.sort_values(["part", "shard", "cid"], ignore_index=True)
+        part, weight = rows["part"].to_numpy(), rows["n"].to_numpy(float)
+        cut = int((part == low).sum()) if low != high else 0
+        one = _chunks(rows.iloc[:cut], block_nodes) if cut else []
+        two = _chunks(rows.iloc[cut:].reset_index(drop=True), block_nodes) if cut < len(rows) else []
+        two = [(places + cut, *rest) for places, *rest in two]
+        pairs = [(x, y) for x in one for y in two] if low != high else [
+            (x, y) for i, x in enumerate(two) for y in two[i:]]
+        links, label = np.zeros(len(rows)), np.arange(len(rows))
+        for (a, of_a, mid_a, wide_a), (b, of_b, mid_b, wide_b) in pairs:
+            if _angle(mid_a @ mid_b) > wide_a + wide_b + reach:
+                continue
+            hit = of_a @ of_b.T >= cosine
+            if a is b:
+                np.fill_diagonal(hit, False)
+            if not hit.any():
+                continue
+            links[a] += hit @ weight[b]
+            if a is not b:
+                links[b] += weight[a] @ hit
+            x, y = np.nonzero(hit)
+            x, y = label[a[x]], label[b[y]]
+            if (apart := x != y).any():
+                label = local_components(len(rows), x[apart], y[apart])[label]
+        told = (links > 0) | (label != np.arange(len(rows)))
+        cid = rows["cid"].to_numpy()
+        return pd.DataFrame({"cid": cid[told], "links": links[told].astype(np.int64), "root": cid[label[told]]})
+
+    return compare
 
 
 def vector_links(
-    classes: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP,
-    shard_nodes: int = SHARD_NODES, block_nodes: int = BLOCK_NODES,
+    classes: DataFrame, cosine: float = COSINE, shard_nodes: int = SHARD_NODES, block_nodes: int = BLOCK_NODES,
 ) -> DataFrame:
-    """``(cid, links, root)``: per shard, how many vectors a class links with, and its local root."""
+    """``(cid, links, root)``: per pair of parts, how many vectors a class links with, and a local root."""
     centres = _centres_by_width(classes, shard_nodes)
-    placed = cut_lineage(
-        classes.select("cid", "unit", "n").mapInPandas(_assign(centres, overlap), SHARDS)
-    )
-    sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).select(
-        "shard", F.ceil(F.col("size") / block_nodes).cast("int").alias("blocks")
-    )
-    blocked = placed.join(sizes, "shard").withColumn(
-        "block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    )
-    blocked = cut_lineage(blocked)
-    lists = blocked.groupBy("shard", "block").applyInPandas(_build, ADJACENCY)
-    united = lists.groupBy("cid").agg(
-        F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")
-    )
-    nodes = blocked.join(united, "cid").withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    meets = nodes.select(
-        "cid", "unit", "n", "shard", "shards", "block", "near",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+    placed = cut_lineage(classes.select("cid", "unit", "n").mapInPandas(_assign(centres), SHARDS))
+    sizes = placed.groupBy("width", "shard").agg(F.count(F.lit(1)).alias("size")).orderBy(
+        "width", "shard").collect()
+    totals = Counter()
+    for r in sizes:
+        totals[r["width"]] += r["size"]
+    # Shards lie one after the other, so a part holds whole ones, or a slice of a crowded one.
+    where, first, at, before = [], 0, 0, None
+    for r in sizes:
+        width = r["width"]
+        if width != before:
+            rows = min(max(block_nodes, -(-totals[width] // PARTS)), max(1, PART_NUMBERS // width))
+            first = where[-1][5] + 1 if where else 0
+            at, before = 0, width
+        last = first + (totals[width] - 1) // rows
+        where.append((r["shard"], at, r["size"], rows, first, last))
+        at += r["size"]
+    known = classes.sparkSession.createDataFrame(
+        where, "shard long, at long, size long, rows long, first long, last long")
+    place = F.col("at") + F.floor(uniform(F.col("cid"), seed="part") * F.col("size"))
+    parts = placed.join(known, "shard").withColumn("part", F.col("first") + F.floor(place / F.col("rows")))
+    meets = parts.withColumn("other", F.explode(F.sequence("first", "last"))).select(
+        "cid", "unit", "n", "shard", "part",
+        F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
     )
-    return meets.groupBy("shard", "low", "high").applyInPandas(_find(cosine), FOUND)
+    return meets.groupBy("low", "high").applyInPandas(_compare(cosine, block_nodes), FOUND)
 
 
 def near_duplicate_vectors(

@@ -46,6 +46,19 @@ def test_links_and_components_equal_brute_force(spark, shape):
     assert all(found[i]["kept"] == (found[i]["component_id"] == i) for i in range(len(points)))
 
 
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_a_dense_group_over_many_shards_keeps_all_links(spark, n):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(n, 64))
+    points[: n // 3] = points[0] + 0.15 * rng.normal(size=(n // 3, 64))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = near_vectors.near_duplicate_vectors(frame, shard_nodes=60, block_nodes=128).collect()
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    true = (unit @ unit.T >= near_vectors.COSINE).sum(axis=1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in found} == dict(enumerate(true.tolist()))
+
+
 def test_given_embeddings_with_copies(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     copies = given.where("vec_id % 5 = 0").withColumn("vec_id", F.col("vec_id") + 10_000)
