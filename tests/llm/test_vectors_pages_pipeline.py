@@ -59,6 +59,20 @@ def test_a_dense_group_over_many_shards_keeps_all_links(spark, n):
     assert {r["vec_id"]: r["n_links"] for r in found} == dict(enumerate(true.tolist()))
 
 
+def test_lone_pairs_beside_a_dense_group_in_one_shard_are_found(spark):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(2000, 64))
+    points[:1400] = points[0] + 0.15 * rng.normal(size=(1400, 64))
+    points[1401::2] = points[1400::2] + 0.15 * rng.normal(size=(300, 64))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = near_vectors.near_duplicate_vectors(frame, shard_nodes=4000).collect()
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    true = (unit @ unit.T >= near_vectors.COSINE).sum(axis=1) - 1
+    assert (true[1400:] == 1).all()
+    assert {r["vec_id"]: r["n_links"] for r in found} == dict(enumerate(true.tolist()))
+
+
 def test_given_embeddings_with_copies(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     copies = given.where("vec_id % 5 = 0").withColumn("vec_id", F.col("vec_id") + 10_000)
