@@ -20,7 +20,13 @@ from pyspark.sql import functions as F
 # Parts whose content is no text of the page at all.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title",
        "textarea", "xmp", "noembed", "noframes"}
-HIDDEN = RAW | {"head", "select", "button", "datalist", "audio", "video"}
+# Of these, parts in which no tag is read before their own end tag.
+RAW_TEXT = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
+_RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*(?:>|$)", re.I) for tag in RAW_TEXT}
+# Elements that may stand in a head; any other one begins the body.
+HEAD = RAW_TEXT - {"textarea", "xmp", "iframe"} | {
+    "base", "basefont", "bgsound", "link", "meta", "noscript", "template"}
+HIDDEN = RAW | {"select", "button", "datalist", "audio", "video"}
 # Inline elements: their tags do not end a block.
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
@@ -73,6 +79,7 @@ def blocks_of(page: str | None) -> list[Block]:
     open_parts: list[tuple[str, int, int]] = []
     around = article = heading = in_link = 0
     hidden: str | None = None
+    in_head = False
     depth = 0
 
     def close() -> None:
@@ -86,23 +93,39 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.clear()
             linked.clear()
 
-    for m in _PART.finditer(page or ""):
+    page, here = page or "", 0
+    while m := _PART.match(page, here):
+        here = m.end()
         tag = m[2]
         if tag is None:
             piece = m[0]
-            if hidden or piece.startswith(("<!", "<?")):
+            if hidden or piece.startswith(("<!", "<?")) or (in_head and piece.isspace()):
                 continue
+            in_head = False
             parts.append(piece)
             if in_link:
                 linked.append(piece)
             continue
         tag, closing = tag.lower(), bool(m[1])
+        if tag in RAW_TEXT and not closing:
+            if not m[3].endswith("/"):
+                # No tag is read in here; without an end the rest of the page belongs to it.
+                end = _RAW_END[tag].search(page, here)
+                here = end.end() if end else len(page)
+            if not hidden and tag not in HEAD:
+                in_head = False
+            continue
         if hidden:
             if tag == hidden:
                 depth += -1 if closing else int(hidden not in RAW)
                 if depth <= 0:
                     hidden = None
             continue
+        if tag == "head":
+            in_head = not closing
+            continue
+        # The end tag of a head may be left out: the first element of a body ends it.
+        in_head &= closing or tag in HEAD
         if tag in HIDDEN and not closing:
             if not m[3].endswith("/"):
                 hidden, depth = tag, 1

@@ -188,6 +188,21 @@ def test_pages_of_all_kinds(page, text):
     assert html_blocks.main_text(page, tree) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<script>for(i=0;i<n;i++)x()</script><article>Text</article>", "Text"),
+    ("<article><p>One</p><SCRIPT>if(a<b)document.write('<div>')</SCRIPT ><p>Two</p></article>", "One Two"),
+    ("<html><head><title>a<b</title><style>x<y{}</style><script>a<b</script><body><article><p>It rained.</p></article>",
+     "It rained."),
+    ("<head><title>t</title><meta name=x><noscript><p>no</p></noscript><link rel=y><article><p>It rained.</p></article>",
+     "It rained."),
+    ("<head><script>i<n</head><article>x</article>", ""),
+    ("<head><title>t</title></head><body><article><p>It rained.</p></article></body>", "It rained."),
+])
+def test_raw_text_and_a_head_without_an_end_lose_nothing(page, text):
+    tree = html_blocks.fit_tree(*html_blocks.labelled_blocks())
+    assert html_blocks.main_text(page, tree) == text
+
+
 # -- pipeline -------------------------------------------------------------------------------------
 
 
