@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +53,22 @@ _PART = re.compile(
 _NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WHITE = re.compile(r"\s+")
 
+# Elements that a new one ends where their own end tag is left out, and those it does not look beyond.
+_CELL, _ROWS = {"td", "th"}, {"thead", "tbody", "tfoot"}
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu", "table"} | _CELL),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl", "table"} | _CELL)),
+    **dict.fromkeys(_CELL, (_CELL, {"table"})),
+    "tr": ({"tr"}, {"table"}),
+    **dict.fromkeys(_ROWS, (_ROWS | {"tr"}, {"table"})),
+}
+# These end an open paragraph as well.
+ENDS_P = set(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer "
+    "form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
+)
+P_BOUND = {"table", "caption"} | _CELL
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after",
             "around", "article", "heading")
 
@@ -77,6 +94,7 @@ def blocks_of(page: str | None) -> list[Block]:
     linked: list[str] = []
     # Open elements that matter: (tag, in a part around, in an article).
     open_parts: list[tuple[str, int, int]] = []
+    opened: Counter[str] = Counter()
     around = article = heading = in_link = 0
     hidden: str | None = None
     in_head = False
@@ -93,6 +111,19 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.clear()
             linked.clear()
 
+    def end_open(tags: set[str], bound: set[str]) -> None:
+        nonlocal around, article
+        for at in range(len(open_parts) - 1, -1, -1):
+            if open_parts[at][0] in tags:
+                for name, a, b in open_parts[at:]:
+                    around -= a
+                    article -= b
+                    opened[name] -= 1
+                del open_parts[at:]
+                return
+            if open_parts[at][0] in bound:
+                return
+
     page, here = page or "", 0
     while m := _PART.match(page, here):
         here = m.end()
@@ -135,26 +166,28 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in INLINE:
             continue
         close()
+        if not closing:
+            if tag in ENDS_P and opened["p"]:
+                end_open({"p"}, P_BOUND)
+            if tag in ENDS and any(opened[x] for x in ENDS[tag][0]):
+                end_open(*ENDS[tag])
         if tag in VOID:
             continue
         heading = int(tag[0] == "h" and tag[1:].isdigit() and not closing)
         in_link = 0
         if closing:
             # An element that was never closed ends with the one around it.
-            at = next((i for i in range(len(open_parts) - 1, -1, -1) if open_parts[i][0] == tag), None)
-            if at is not None:
-                for _, a, b in open_parts[at:]:
-                    around -= a
-                    article -= b
-                del open_parts[at:]
+            if opened[tag]:
+                end_open({tag}, set())
             continue
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option", "br"):
+        if tag == "option":
             continue
         name = _named(m[3]) if "=" in m[3] else ""
         # A header within an article is the article's own.
         outside = int((tag in AROUND and not (tag == "header" and article)) or bool(name and AROUND_WORDS.search(name)))
         inside = int(tag in ("article", "main") or bool(name and not outside and ARTICLE_WORDS.search(name)))
         open_parts.append((tag, outside, inside))
+        opened[tag] += 1
         around += outside
         article += inside
     close()

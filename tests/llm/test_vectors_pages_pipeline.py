@@ -203,6 +203,19 @@ def test_raw_text_and_a_head_without_an_end_lose_nothing(page, text):
     assert html_blocks.main_text(page, tree) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p class='ad'>Buy now<p>It rained.<p>All day.</article>", "It rained. All day."),
+    ("<article><p class=ad>Buy now<div>It rained.</div></article>", "It rained."),
+    ("<article><ul><li>One<li class='comment'>Nice<ul><li>Indeed</ul><li>Two</ul><p>End.</article>", "One Two End."),
+    ("<article><table><tr><td class='sidebar'>Most read<td>Rain<tr class='promo'><td>Shop<tr><th>Sun</table></article>",
+     "Rain Sun"),
+    ("<article><dl><dt class=ad>Buy<dd>Rain<dd role='complementary'>More<dt>Sun</dl></article>", "Rain Sun"),
+])
+def test_named_paragraphs_items_and_cells_are_around(page, text):
+    tree = html_blocks.fit_tree(*html_blocks.labelled_blocks())
+    assert html_blocks.main_text(page, tree) == text
+
+
 # -- pipeline -------------------------------------------------------------------------------------
 
 
