@@ -348,17 +348,24 @@ def _inertia(spark, sf):
 @query("k19_smallest_eigenvectors")
 def _eigen(spark, sf):
     edges = cut_lineage(fleet_graph(spark, sf))
-    _, vectors = S.smallest_eigenvectors(edges, 3, 24)
-    return rounded(to_long(vectors, ["node"], "x"), "val", digits=4)
+    _, vectors, residual = S.eigenvectors_and_residual(edges, 3)
+    vectors = cut_lineage(vectors)
+    # The Laplacian row of a node without an edge is zero, and so is its part of these vectors.
+    alone = fleet_nodes(spark, sf).join(vectors.select("node"), "node", "left_anti")
+    zeros = F.array_repeat(F.lit(0.0), 3)
+    found = to_long(vectors.unionByName(alone.select("node", zeros.alias("x"))), ["node"], "x")
+    return rounded(found, "val", digits=4).withColumn("settled", F.lit(residual < S.TOLERANCE))
 
 
 @query("k20_eigengap_k")
 def _gap(spark, sf):
     edges = cut_lineage(fleet_graph(spark, sf))
-    values, vectors = S.smallest_eigenvectors(edges, 5, 16)
-    n = vectors.count()
-    k = S.eigengap_k(values, n, 4)
-    return vectors.agg(F.count(F.lit(1)).alias("nodes")).withColumn("k", F.lit(k))
+    # A node without an edge adds an eigenvalue of zero and a cluster of its own; k counts the others.
+    k, linked, residual = S.cluster_count(edges)
+    return fleet_nodes(spark, sf).agg(F.count(F.lit(1)).alias("nodes")).select(
+        "nodes", (F.col("nodes") - linked).alias("isolated"), F.lit(k).alias("k"),
+        F.lit(residual < S.TOLERANCE).alias("settled"),
+    )
 
 
 @query("k21_spectral_clustering")

@@ -88,3 +88,20 @@ def test_more_centres_than_a_scalar_takes(spark, monkeypatch, metric):
         assert got.keys() == wanted.keys()
         assert all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
     assert A.nearest(fleet.limit(0), centres, metric).count() == 0
+
+
+def test_eigen_queries_settle_and_keep_every_cluster_and_node(spark, monkeypatch):
+    from regatta.catalog import graphs, load
+
+    links = [(6 * c + i, 6 * c + j, 1.0) for c in range(6) for i in range(6) for j in range(i)]
+    links += [(6 * c, (6 * c + 6) % 36, 0.02) for c in range(6)]
+    rows = [(a, b, w) for x, y, w in links for a, b in ((x, y), (y, x))]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    monkeypatch.setattr(graphs, "fleet_graph", lambda spark, sf: edges)
+    monkeypatch.setattr(graphs, "fleet_nodes", lambda spark, sf: spark.range(38).withColumnRenamed("id", "node"))
+    gap = load().queries["k20_eigengap_k"](spark, "").first()
+    assert (gap["nodes"], gap["isolated"], gap["k"]) == (38, 2, 6)
+    rows = load().queries["k19_smallest_eigenvectors"](spark, "").collect()
+    assert {r["node"] for r in rows} == set(range(38)) and len(rows) == 38 * 3
+    assert all(r["val"] == 0 for r in rows if r["node"] >= 36)
+    assert gap["settled"] in (True, False) and len({r["settled"] for r in rows}) == 1
