@@ -39,8 +39,13 @@ WIDTH = PLACES * len(ORDERS)
 # Labelled documents per language that the machines are fitted on, at most.
 SAMPLE_PER_LANGUAGE = 300
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
-# Documents whose score is below this are rejected where languages filter.
+# Documents whose score is below this are rejected where languages filter. A score of 0.5 means that the
+# family's own machine (or, with one family only, the likeness to its labelled texts) is as sure as this
+# share of what all but a few labelled texts reach whose machines were fitted without them.
 MIN_SCORE = 0.5
+FLOOR_SHARE, FLOOR_QUANTILE = 0.8, 0.005
+# Words of the texts that the floor is set by, and how many of them there must be for one to be set.
+FLOOR_WORDS, FLOOR_TEXTS = 50, 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 12)
 _LETTER: list[np.ndarray] = []
@@ -105,6 +110,15 @@ class LanguageModel:
     languages: dict[str, list[str]] = field(default_factory=dict)
     weights: np.ndarray = field(default_factory=lambda: np.zeros((WIDTH, 0), np.float32))
     biases: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    # Mean direction of the labelled texts of every language, and the least margin of a known text.
+    means: np.ndarray = field(default_factory=lambda: np.zeros((0, WIDTH), np.float32))
+    floor: float = -np.inf
+
+    def family_margin(self, grams: np.ndarray, margins: list[float]) -> float:
+        """How far the chosen family's machine is on its own side; with one family, the likeness to it."""
+        if len(self.families) > 1:
+            return max(margins[: len(self.families)])
+        return float((self.means @ grams.astype(np.float32)).max())
 
     def predict(self, text: str | None) -> tuple[str, float]:
         grams = gram_counts(text)
@@ -112,11 +126,8 @@ class LanguageModel:
             return UNKNOWN, 0.0
         margins = (grams.astype(np.float32) @ self.weights + self.biases).tolist()
         at = len(self.families) if len(self.families) > 1 else 0
-        best, sure = self.families[0], 1.0
-        if at:
-            ranked = sorted(range(at), key=lambda f: -margins[f])
-            best = self.families[ranked[0]]
-            sure = _logistic(margins[ranked[0]] - margins[ranked[1]])
+        best = self.families[int(np.argmax(margins[:at]))] if at else self.families[0]
+        sure = _logistic(self.family_margin(grams, margins) - self.floor)
         for family in self.families:
             names = self.languages[family]
             pairs = list(combinations(names, 2))
@@ -163,7 +174,24 @@ def fit_model(texts: list[str], langs: list[str]) -> LanguageModel:
         weights.append(dual @ points[own])
         biases.append(dual.sum())
     columns = np.stack(weights, axis=1) if weights else np.zeros((WIDTH, 0))
-    return LanguageModel(families, languages, columns.astype(np.float32), np.array(biases))
+    means = np.stack([points[lang == x].mean(axis=0) for x in sorted(set(lang))])
+    means /= np.linalg.norm(means, axis=1, keepdims=True)
+    return LanguageModel(families, languages, columns.astype(np.float32), np.array(biases), means)
+
+
+def known_floor(texts: list[str], langs: list[str]) -> float:
+    """The margin below which a text is in no known language; each half is judged by the other's machines."""
+    reached = []
+    for half in (0, 1):
+        model = fit_model(texts[half::2], langs[half::2])
+        for text in texts[1 - half:: 2]:
+            grams = gram_counts(text)
+            if grams is not None and model.families and len(text.split()) >= FLOOR_WORDS:
+                margins = (grams.astype(np.float32) @ model.weights + model.biases).tolist()
+                reached.append(model.family_margin(grams, margins))
+    if len(reached) < FLOOR_TEXTS:
+        return -np.inf
+    return max(0.0, FLOOR_SHARE * float(np.quantile(reached, FLOOR_QUANTILE)))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -188,7 +216,10 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageM
         "lang", "text", "doc_id", order.alias("order")
     ).toPandas().sort_values(["lang", "order", "doc_id", "text"])
     sample = sample.groupby("lang", sort=True).head(per_language)
-    return fit_model(sample["text"].tolist(), sample["lang"].tolist())
+    texts, langs = sample["text"].tolist(), sample["lang"].tolist()
+    model = fit_model(texts, langs)
+    model.floor = known_floor(texts, langs)
+    return model
 
 
 def predictor(spark, model: LanguageModel):

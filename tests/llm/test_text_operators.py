@@ -96,6 +96,22 @@ def test_languages_on_odd_rows(spark):
     assert model.families == ["germanic", "romance"] and model.predict("où là été")[0] == "fr"
 
 
+def test_unknown_languages_and_random_letters_are_rejected(spark):
+    rng = np.random.default_rng(1)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    noise = [" ".join("".join(rng.choice(letters, rng.integers(3, 10))) for _ in range(100)) for _ in range(20)]
+    foreign = ["Η ελληνική γλώσσα είναι μια από τις παλαιότερες γλώσσες του κόσμου ",
+               "kieli on suomen kansan tärkein perintö ja sitä puhutaan koko maassa yhä tänään ",
+               "język polski jest używany przez ludzi w całym kraju i poza jego granicami od wieków "]
+    odd = [(10**9 + i, t, None) for i, t in enumerate(noise + [f * 8 for f in foreign])]
+    given = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    docs = given.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in language_id.keep_known(docs).select("doc_id").collect()}
+    assert not {i for i, _, _ in odd} & kept
+    clean = {r["doc_id"] for r in given.where("size(split(text, ' ')) >= 50").collect()}
+    assert len(clean & kept) >= 0.99 * len(clean)
+
+
 # -- fingerprints ---------------------------------------------------------------------------------
 
 
