@@ -1,15 +1,18 @@
 """Personal data: patterns, and terms of the corpus that give a protected kind away.
 
-How strongly a term reveals a kind of personal data is their pointwise mutual information over all
-documents, set against what the kind itself tells (its information content): at a ratio of one the
-term is as good as the entity. A document that holds the kind has such terms generalised too. Copies
-of one document are one witness, because a term must reveal enough different entities.
+How strongly a term reveals an entity, or a kind of personal data, is their pointwise mutual
+information over all documents, set against what the entity or kind itself tells (its information
+content): at a ratio of one the term is as good as the entity. A document that holds it has such terms
+generalised too. A term counts when chance does not explain it over all terms tested; copies of one
+document are one witness, because different texts (of an entity) or entities (of a kind) are counted.
 
 All of it is DataFrame expressions; no Python runs on the executors.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,10 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 # A term may keep this share of the information that a kind holds before it is generalised.
 DISCLOSURE = 0.9
-# Documents with the kind, and different entities, that a term must be seen with.
-MIN_DOCUMENTS, MIN_ENTITIES = 20, 20
-TERM_PATTERN = r"^\p{L}{3,}$"
+# Chance that any term at all is taken for a revealing one where terms and entities are independent.
+CHANCE = 0.05
+# Letters with their marks, digits, hyphens and apostrophes, three at least, and one of them a letter.
+TERM_PATTERN = r"^(?=.*\p{L})(?=.{3})[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*$"
 WHITE = r"[\x20\x09-\x0D]+"
 MARKS = ".,;:!?\"'()[]{}|"
 
@@ -70,63 +74,112 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike(TERM_PATTERN)))
 
 
-def term_disclosure(found: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``(term_hash, kind, disclosure)`` of terms seen with a kind in enough documents."""
-    has = {k: (F.size(f"_llm_{k}") > 0).cast("int") for k in KINDS}
+def _log_chance(hits: Column, n: Column, share: Column) -> Column:
+    """Log of a bound (Chernoff) on the chance of ``hits`` or more among ``n`` at this share."""
+    q = F.least(hits / n, F.lit(1.0))
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    return F.when(q > share, -n * (q * F.log(q / share) + rest)).otherwise(0.0)
+
+
+def _told(hits: Column, n: Column, share: Column) -> Column:
+    """Share of the information content of what has this share that a term gives away."""
+    return F.log(hits / n / share) / -F.log(share)
+
+
+def _limit(tests: int, chance: float) -> float:
+    """Log of the chance that one of so many tests may have (Bonferroni)."""
+    return math.log(chance / max(1, tests))
+
+
+def _entities(kind: str) -> Column:
+    name = F.lit(kind)
+    return F.transform(f"_llm_{kind}", lambda s: F.struct(
+        name.alias("kind"), F.xxhash64(name, s["value"]).alias("entity")))
+
+
+def term_counts(found: DataFrame) -> DataFrame:
+    """``(term_hash, n, <kind>...)``: documents with each term, and those with a kind too, if any."""
     rows = found.select(F.explode(_terms(F.col("_llm_text"))).alias("term"),
-                        *[c.alias(k) for k, c in has.items()])
-    counts = rows.groupBy(F.xxhash64("term").alias("term_hash")).agg(
+                        *[(F.size(f"_llm_{k}") > 0).cast("int").alias(k) for k in KINDS])
+    return rows.groupBy(F.xxhash64("term").alias("term_hash")).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(k).alias(k) for k in KINDS]
-    ).where(F.greatest(*KINDS) >= min_documents)
-    totals = found.agg(
-        F.count(F.lit(1)).alias("all"), *[F.sum(c).alias(k) for k, c in has.items()]
-    ).first()
-    everything = totals["all"]
-    shares = {k: totals[k] / everything for k in KINDS if 0 < (totals[k] or 0) < everything}
+    ).where(F.greatest(*KINDS) > 0)
+
+
+def _kind_terms(
+    held: DataFrame, counts: DataFrame, shares: dict[str, float], disclosure: float, limit: float
+) -> DataFrame:
+    """``(term_hash, kind)`` of terms that give a kind away, each different entity one witness."""
     seen = F.array(*[
         F.struct(F.lit(k).alias("kind"), F.col(k).alias("n_kind"), F.lit(p).alias("share"))
         for k, p in shares.items()
     ]) if shares else F.array().cast("array<struct<kind:string,n_kind:bigint,share:double>>")
-    rated = counts.select("term_hash", "n", F.explode(seen).alias("k"))
-    ratio = F.log(F.col("k.n_kind") / F.col("n") / F.col("k.share")) / -F.log(F.col("k.share"))
-    return rated.where(F.col("k.n_kind") >= min_documents).select(
-        "term_hash", F.col("k.kind").alias("kind"), ratio.alias("disclosure")
+    rated = counts.select("term_hash", "n", F.explode(seen).alias("k")).select("term_hash", "n", "k.*")
+    suspects = cut_lineage(rated.where(
+        (F.col("n_kind") > 0) & (_told(F.col("n_kind"), F.col("n"), F.col("share")) >= disclosure)
+        & (_log_chance(F.col("n_kind"), F.col("n"), F.col("share")) <= limit)
+    ))
+    rows = held.select("terms", F.explode("entities").alias("e")).select(
+        F.explode("terms").alias("term"), F.col("e.kind").alias("kind"), F.col("e.entity").alias("entity"))
+    return (
+        rows.withColumn("term_hash", F.xxhash64("term")).join(suspects, ["term_hash", "kind"])
+        .groupBy("term_hash", "kind").agg(
+            F.countDistinct("entity").alias("w"), F.first("n").alias("n"), F.first("share").alias("share"))
+        .where(_log_chance(F.col("w"), F.col("n"), F.col("share")) <= limit).select("term_hash", "kind")
     )
 
 
+def _entity_terms(
+    held: DataFrame, counts: DataFrame, everything: int, disclosure: float, chance: float
+) -> DataFrame:
+    """``(term_hash, entity)`` of terms that give one entity away, each different text one witness."""
+    entities = held.select("text_hash", F.explode("entities.entity").alias("entity")).groupBy(
+        "entity", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n_entity"))
+    # One text proves nothing: its chance, one in all texts, is above the limit of so many tests.
+    entities = cut_lineage(entities.where((F.col("texts") > 1) & (F.col("n_entity") < everything)))
+    rows = held.select("text_hash", "terms", F.explode("entities.entity").alias("entity")).join(
+        entities, "entity").select("text_hash", "entity", "n_entity", F.explode("terms").alias("term"))
+    pairs = rows.groupBy(F.xxhash64("term").alias("term_hash"), "entity", "n_entity", "text_hash").agg(
+        F.count(F.lit(1)).alias("n")).groupBy("term_hash", "entity", "n_entity").agg(
+        F.count(F.lit(1)).alias("w"), F.sum("n").alias("n_both"))
+    pairs = cut_lineage(pairs)
+    share = F.col("n_entity") / float(everything)
+    return pairs.where(F.col("w") > 1).join(counts.select("term_hash", "n"), "term_hash").where(
+        (_told(F.col("n_both"), F.col("n"), share) >= disclosure)
+        & (_log_chance(F.col("w"), F.col("n"), share) <= _limit(pairs.count(), chance))
+    ).select("term_hash", "entity")
+
+
 def revealing_terms(
-    found: DataFrame, disclosure: float = DISCLOSURE, min_documents: int = MIN_DOCUMENTS,
-    min_entities: int = MIN_ENTITIES,
+    found: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE
 ) -> DataFrame:
     """``(doc_id, text_hash, terms)``: the terms to generalise in each document that has any."""
-    suspects = cut_lineage(
-        term_disclosure(found, min_documents).where(F.col("disclosure") >= disclosure)
-    )
-    kinds = F.filter(F.array(*[
-        F.struct(F.lit(k).alias("kind"),
-                 F.transform(f"_llm_{k}", lambda s: F.xxhash64(s["value"])).alias("entities"))
-        for k in KINDS
-    ]), lambda k: F.size(k["entities"]) > 0)
-    held = found.where(F.size(kinds) > 0).select(
-        "doc_id", F.col("_llm_hash").alias("text_hash"), F.explode(_terms(F.col("_llm_text"))).alias("term"),
-        kinds.alias("kinds"),
-    ).select("doc_id", "text_hash", "term", F.xxhash64("term").alias("term_hash"),
-             F.explode("kinds").alias("k"))
-    seen = held.select("*", F.col("k.kind").alias("kind")).join(suspects, ["term_hash", "kind"])
-    seen = cut_lineage(seen.select("doc_id", "text_hash", "term", "kind", "k.entities"))
-    proven = (
-        seen.select("term", "kind", F.explode("entities").alias("entity"))
-        .groupBy("term", "kind").agg(F.countDistinct("entity").alias("entities"))
-        .where(F.col("entities") >= min_entities).select("term", "kind")
-    )
-    return seen.join(proven, ["term", "kind"]).groupBy("doc_id", "text_hash").agg(
-        F.array_sort(F.collect_set("term")).alias("terms")
-    )
+    counts = cut_lineage(term_counts(found))
+    totals = found.agg(
+        F.count(F.lit(1)).alias("all"), *[F.sum((F.size(f"_llm_{k}") > 0).cast("int")).alias(k) for k in KINDS]
+    ).first()
+    everything = totals["all"]
+    shares = {k: totals[k] / everything for k in KINDS if 0 < (totals[k] or 0) < everything}
+    entities = F.array_distinct(F.concat(*[_entities(k) for k in KINDS]))
+    held = found.where(F.size(entities) > 0).select(
+        "doc_id", F.col("_llm_hash").alias("text_hash"), _terms(F.col("_llm_text")).alias("terms"),
+        entities.alias("entities"))
+    of_kinds = _kind_terms(held, counts, shares, disclosure, _limit(counts.count() * len(KINDS), chance))
+    of_entities = _entity_terms(held, counts, everything, disclosure, chance)
+    keys = cut_lineage(of_kinds.select("term_hash", F.xxhash64("kind").alias("key")).unionByName(
+        of_entities.select("term_hash", F.col("entity").alias("key"))))
+    sides = F.array_distinct(F.concat(
+        F.transform("entities", lambda e: F.xxhash64(e["kind"])), F.col("entities.entity")))
+    rows = held.select("doc_id", "text_hash", F.explode("terms").alias("term"), sides.alias("sides"))
+    known = keys.groupBy("term_hash").agg(F.count(F.lit(1)).alias("keys"))
+    rows = rows.withColumn("term_hash", F.xxhash64("term")).join(known, "term_hash").drop("keys")
+    return rows.withColumn("key", F.explode("sides")).join(keys, ["term_hash", "key"]).groupBy(
+        "doc_id", "text_hash").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def find_personal_data(
-    docs: DataFrame, disclosure: float = DISCLOSURE, min_documents: int = MIN_DOCUMENTS,
-    min_entities: int = MIN_ENTITIES,
+    docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE
 ) -> DataFrame:
     """``docs`` with an array of spans ``_llm_<kind>`` for every kind and ``_llm_term``.
 
@@ -134,12 +187,12 @@ def find_personal_data(
     ties and empty tables need nothing special. Other columns stay as they are.
     """
     found = _with_entities(docs)
-    terms = cut_lineage(revealing_terms(found, disclosure, min_documents, min_entities))
+    terms = cut_lineage(revealing_terms(found, disclosure, chance))
     terms = terms.withColumnsRenamed({"doc_id": "_llm_id", "text_hash": "_llm_of", "terms": "_llm_terms"})
     same = found["doc_id"].eqNullSafe(terms["_llm_id"]) & (found["_llm_hash"] == terms["_llm_of"])
     joined = found.join(terms, same, "left")
     pattern = F.concat(
-        F.lit(r"(?<![\p{L}\p{M}\p{N}])(?iu:"), F.array_join("_llm_terms", "|"),
+        F.lit(r"(?<![\p{L}\p{M}\p{N}])(?iu:"), F.array_join(F.reverse("_llm_terms"), "|"),
         F.lit(r")(?![\p{L}\p{M}\p{N}])"),
     )
     base = F.concat(*[F.col(f"_llm_{k}") for k in KINDS])

@@ -233,6 +233,18 @@ def test_a_revealing_term_is_generalised(spark):
     assert pii.report(copies).agg(F.sum("n_term")).first()[0] == 0
 
 
+def test_a_name_seen_only_beside_its_own_address_is_generalised(spark):
+    names = {0: "Quillfeather", 1: "Anna-Maria7", 2: "हिन्दी"}
+    rows = [(10 * n + i, f"{prose(10 * n + i, 30)} {name} of x{n}@example.com") for n, name in names.items() for i in range(3)]
+    rows += [(1000 + i, f"{prose(1000 + i, 30)} once{i}x of y{i}@example.com") for i in range(200)]
+    rows += [(2000 + i, prose(2000 + i, 30)) for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0).cast("long"))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert all(clean[10 * n + i].endswith("[TERM] of [EMAIL]") for n in names for i in range(3))
+    assert all(f"once{i}x of [EMAIL]" in clean[1000 + i] for i in range(200))
+    assert all("[TERM]" not in clean[2000 + i] for i in range(1800))
+
+
 def test_random_tokens_are_found_and_words_are_not(spark):
     digest = hashlib.sha512(b"x").digest()
     import base64
