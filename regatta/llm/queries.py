@@ -18,11 +18,15 @@ from regatta.llm import (
     quality_rules,
     secrets,
     simhash,
+    token_alignment,
+    token_counts,
+    vector_codes,
     warc_index,
 )
 from regatta.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,11 +89,82 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    paths = public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment_report(docs, *paths)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path(BYTE_TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_near_vectors, op3_pii, op4_sentencepiece, op5_secrets, op6_warc, op7_packing,
-        op8_language_id, op9_simhash, op10_html,
+        op8_language_id, op9_simhash, op10_html, op11_vector_codes, op12_token_alignment, op13_token_counts,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def _op11_round(n: int) -> str:
+    """SQL of the assignment to book ``n`` (distance and entry in one number) and of the book behind it."""
+    return f"""
+near{n} AS (
+    SELECT p.row, p.part, min(64 * list_sum([
+        (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]) FOR i IN range(1, len(p.v) + 1)
+    ])::BIGINT + b.entry) AS best
+    FROM parts p JOIN book{n} b USING (part) GROUP BY p.row, p.part
+),
+mean{n} AS (
+    SELECT part, entry, list(mean ORDER BY i) AS v FROM (
+        SELECT part, entry, i, floor(sum(x) / count(*))::BIGINT AS mean FROM (
+            SELECT p.part, n.best % 64 AS entry, unnest(p.v) AS x, unnest(range(1, len(p.v) + 1)) AS i
+            FROM parts p JOIN near{n} n USING (row, part)
+        ) GROUP BY part, entry, i
+    ) GROUP BY part, entry
+),
+book{n + 1} AS (
+    SELECT part, entry, coalesce(m.v, b.v) AS v FROM book{n} b LEFT JOIN mean{n} m USING (part, entry)
+)"""
+
+
+OP11_SQL = f"""
+WITH kept AS (
+    SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+ranked AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS row FROM kept),
+parts AS (
+    SELECT row, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS v
+    FROM ranked, range(16) t(part)
+),
+book0 AS (SELECT part, row - 1 AS entry, v FROM parts WHERE row <= 64),
+{_op11_round(0)},
+{_op11_round(1)},
+last AS (
+    SELECT p.row, p.part, min(64 * list_sum([
+        (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]) FOR i IN range(1, len(p.v) + 1)
+    ])::BIGINT + b.entry) AS best
+    FROM parts p JOIN book2 b USING (part) GROUP BY p.row, p.part
+),
+coded AS (
+    SELECT row, string_agg(format('{{:02x}}', best % 64), '' ORDER BY part) AS code,
+           sum(best // 64)::BIGINT AS error
+    FROM last GROUP BY row
+),
+books AS (
+    SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS digest FROM book2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       digest AS codebooks_sha256
+FROM ranked JOIN coded USING (row), books
+"""
+
+ORACLES: dict[str, str] = {"op11_vector_codes": OP11_SQL}
