@@ -90,7 +90,7 @@ class Codebooks:
     def assign(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all parts, and the squared distances summed over them."""
         n, parts = len(vectors), len(self.books)
-        cut = vectors.reshape(n, parts, -1)
+        cut = vectors.reshape(n, parts, vectors.shape[1] // parts)
         codes, error = np.empty((n, parts), np.int64), np.zeros(n, np.int64)
         for part, book in enumerate(self.books):
             codes[:, part], squared = book.nearest(cut[:, part])
@@ -133,7 +133,7 @@ def first_books(vectors: DataFrame, width: int, parts: int, entries: int) -> np.
     rows = np.zeros((0, width), np.int64)
     for column in first.toArrow().column(0).chunks:
         rows = np.concatenate([rows, *_vectors(column, width)])
-    return rows.reshape(len(rows), parts, -1).transpose(1, 0, 2).copy()
+    return rows.reshape(len(rows), parts, width // parts).transpose(1, 0, 2).copy()
 
 
 def refined(vectors: DataFrame, books: np.ndarray, width: int) -> np.ndarray:
