@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +30,10 @@ from regatta.operators.common import cut_lineage
 
 # Steps of merging in one piece.
 PIECE_WORK = 1 << 15
-# Characters of text that are coded and aligned together; a longer text is taken alone.
-TOGETHER_CHARS = 1 << 21
+# Bytes of text that are coded and aligned together; a longer text is taken alone.
+TOGETHER_BYTES = 1 << 20
 # Stretches whose ids a worker remembers, in each of two generations, and the longest of them.
-MEMORY = 200_000
+MEMORY = 150_000
 REMEMBERED_LENGTH = 64
 # New stretches that are coded in one call.
 TOGETHER = 4096
@@ -162,8 +163,7 @@ class PairCoder(Alphabet):
         out = []
         for stretches in cut:
             ids = list(map(known.__getitem__, stretches))
-            spelled = None not in ids
-            out.append((b"".join(i[0] for i in ids), b"".join(i[1] for i in ids)) if spelled else (b"", b""))
+            out.append(tuple(map(b"".join, zip(*ids))) if ids and None not in ids else (b"", b""))
         for stretch in new:
             if len(stretch) > REMEMBERED_LENGTH:
                 del known[stretch]
@@ -255,14 +255,13 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, work: int = PIECE
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker(PairCoder, a_path, b_path)
         for batch in batches:
-            texts, start, chars = batch.column(1).to_pylist(), 0, 0
-            for at, text in enumerate(texts):
-                if chars and chars + len(text) > TOGETHER_CHARS:
-                    yield _aligned(coder, batch.column(0).slice(start, at - start), texts[start:at], work)
-                    start, chars = at, 0
-                chars += len(text)
-            if start < len(texts):
-                yield _aligned(coder, batch.column(0).slice(start), texts[start:], work)
+            octets, start = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
+            while start < len(batch):
+                before = octets[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(octets, before + TOGETHER_BYTES, "right")))
+                part = batch.slice(start, end - start)
+                yield _aligned(coder, part.column(0), part.column(1).to_pylist(), work)
+                start = end
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(aligned, ALIGNED)
@@ -273,32 +272,30 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def group_digests(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def group_digests(aligned: DataFrame) -> DataFrame:
     """Counts and the digest of ``a1,a2|b1;a3|b2,b3`` (decimal ids, groups in order) of every aligned row.
 
     Without tokens the digest is empty. ``links`` are passed on for ``rate_links``.
     """
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = worker(PairCoder, a_path, b_path)
-        v_a, v_b = len(alphabet.a_bytes), len(alphabet.b_bytes)
-        # An id with the mark behind it: A's within and at the end of its group, then B's.
-        shown = [
-            b"%d%s" % (i, mark) for v, marks in ((v_a, (b",", b"|")), (v_b, (b",", b";")))
-            for mark in marks for i in range(v)
-        ].__getitem__
+        size, shown = 0, []
         for batch in batches:
             (a, n_a), (b, n_b), (size_a, groups), (size_b, _) = (_flat(batch.column(i)) for i in range(1, 5))
             end_a, end_b = np.cumsum(size_a, dtype=np.int64), np.cumsum(size_b, dtype=np.int64)
             code = np.empty(len(a) + len(b), np.int64)
-            a, b = a.astype(np.int64), b.astype(np.int64) + 2 * v_a
-            a[end_a - 1] += v_a
-            b[end_b - 1] += v_b
+            if (most := max(a.max(initial=0), b.max(initial=0))) >= size:
+                # Every id with the mark behind it, within its group and at the end of A's or B's part.
+                size = 1 << max(16, int(most).bit_length())
+                shown = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(size)]
+            a, b = a.astype(np.int64), b.astype(np.int64)
+            a[end_a - 1] += size
+            b[end_b - 1] += 2 * size
             # A's tokens come before those of B in every group.
             code[np.arange(len(a)) + np.repeat(end_b - size_b, size_a)] = a
             code[np.arange(len(b)) + np.repeat(end_a, size_b)] = b
             ends = np.cumsum(n_a.astype(np.int64) + n_b).tolist()
             written = [
-                hashlib.sha256(b"".join(map(shown, code[s:e].tolist()))[:-1]).hexdigest() if s < e else ""
+                hashlib.sha256(b"".join(map(shown.__getitem__, code[s:e].tolist()))[:-1]).hexdigest() if s < e else ""
                 for s, e in zip([0, *ends], ends)
             ]
             counts = (pa.array(n.astype(np.int64)) for n in (n_a, n_b, groups, groups))
@@ -356,4 +353,4 @@ def rate_links(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
 def alignment_report(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Counts, digest and rated links of every row; the texts are coded once, the links written once."""
     aligned = align_documents(docs, a_path, b_path)
-    return rate_links(cut_lineage(group_digests(aligned, a_path, b_path)), a_path, b_path)
+    return rate_links(cut_lineage(group_digests(aligned)), a_path, b_path)

@@ -172,7 +172,7 @@ def test_alignment_against_a_walk_over_the_bytes(spark, work, monkeypatch):
     texts = [None, *odd_texts(400), prose(2, 80), prose(2, 80)]
     rows = [(i if i % 50 else None, t, i, "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, links long, a_ids string").repartition(3)
-    digests = token_alignment.group_digests(token_alignment.align_documents(docs, A, B, work), A, B)
+    digests = token_alignment.group_digests(token_alignment.align_documents(docs, A, B, work))
     got = token_alignment.rate_links(digests, A, B).collect()
     want = plain_report(texts)
     assert Counter((r["doc_id"], *(r[f] for f in FIELDS)) for r in got) == Counter(
