@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -243,16 +243,15 @@ def _aligned(coder: PairCoder, ids: pa.Array, texts: list[str], work: int) -> pa
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes", "links"])
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, work: int = PIECE_WORK) -> DataFrame:
-    """Tokens, groups and links of every row of ``docs``: see ``ALIGNED``.
+Batches = Iterator[pa.RecordBatch]
 
-    ``a_sizes`` and ``b_sizes`` are the tokens of each group in order, ``links`` the numbers of the pairs
-    of tokens that end together (``Alphabet.pairs``): one closes each group, as no token is without bytes.
-    A text that is null or empty, or that a vocabulary does not spell (one with U+2581 in it), has no
-    tokens and empty lists. A null id stays null, repeated rows are aligned each, an empty table gives no
-    rows, other columns are not read. A text of any length is aligned whole, in pieces of ``work`` steps.
-    """
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _align(a_path: str, b_path: str, work: int) -> Callable[[Batches], Batches]:
+    def aligned(batches: Batches) -> Batches:
         coder = worker(PairCoder, a_path, b_path)
         for batch in batches:
             octets, start = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
@@ -263,8 +262,19 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, work: int = PIECE
                 yield _aligned(coder, part.column(0), part.column(1).to_pylist(), work)
                 start = end
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(aligned, ALIGNED)
+    return aligned
+
+
+def align_documents(docs: DataFrame, a_path: str, b_path: str, work: int = PIECE_WORK) -> DataFrame:
+    """Tokens, groups and links of every row of ``docs``: see ``ALIGNED``.
+
+    ``a_sizes`` and ``b_sizes`` are the tokens of each group in order, ``links`` the numbers of the pairs
+    of tokens that end together (``Alphabet.pairs``): one closes each group, as no token is without bytes.
+    A text that is null or empty, or that a vocabulary does not spell (one with U+2581 in it), has no
+    tokens and empty lists. A null id stays null, repeated rows are aligned each, an empty table gives no
+    rows, other columns are not read. A text of any length is aligned whole, in pieces of ``work`` steps.
+    """
+    return _rows(docs).mapInArrow(_align(a_path, b_path, work), ALIGNED)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -272,39 +282,40 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
+def _digest(batches: Batches) -> Batches:
+    size, shown = 0, []
+    for batch in batches:
+        (a, n_a), (b, n_b), (size_a, groups), (size_b, _) = (_flat(batch.column(i)) for i in range(1, 5))
+        end_a, end_b = np.cumsum(size_a, dtype=np.int64), np.cumsum(size_b, dtype=np.int64)
+        code = np.empty(len(a) + len(b), np.int64)
+        if (most := max(a.max(initial=0), b.max(initial=0))) >= size:
+            # Every id with the mark behind it, within its group and at the end of A's or B's part.
+            size = 1 << max(16, int(most).bit_length())
+            shown = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(size)]
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        a[end_a - 1] += size
+        b[end_b - 1] += 2 * size
+        # A's tokens come before those of B in every group.
+        code[np.arange(len(a)) + np.repeat(end_b - size_b, size_a)] = a
+        code[np.arange(len(b)) + np.repeat(end_a, size_b)] = b
+        ends = np.cumsum(n_a.astype(np.int64) + n_b).tolist()
+        written = [
+            hashlib.sha256(b"".join(map(shown.__getitem__, code[s:e].tolist()))[:-1]).hexdigest() if s < e else ""
+            for s, e in zip([0, *ends], ends)
+        ]
+        counts = (pa.array(n.astype(np.int64)) for n in (n_a, n_b, groups, groups))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *counts, pa.array(written, pa.string()), batch.column(5)],
+            ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"],
+        )
+
+
 def group_digests(aligned: DataFrame) -> DataFrame:
     """Counts and the digest of ``a1,a2|b1;a3|b2,b3`` (decimal ids, groups in order) of every aligned row.
 
     Without tokens the digest is empty. ``links`` are passed on for ``rate_links``.
     """
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, shown = 0, []
-        for batch in batches:
-            (a, n_a), (b, n_b), (size_a, groups), (size_b, _) = (_flat(batch.column(i)) for i in range(1, 5))
-            end_a, end_b = np.cumsum(size_a, dtype=np.int64), np.cumsum(size_b, dtype=np.int64)
-            code = np.empty(len(a) + len(b), np.int64)
-            if (most := max(a.max(initial=0), b.max(initial=0))) >= size:
-                # Every id with the mark behind it, within its group and at the end of A's or B's part.
-                size = 1 << max(16, int(most).bit_length())
-                shown = [b"%d%s" % (i, mark) for mark in (b",", b"|", b";") for i in range(size)]
-            a, b = a.astype(np.int64), b.astype(np.int64)
-            a[end_a - 1] += size
-            b[end_b - 1] += 2 * size
-            # A's tokens come before those of B in every group.
-            code[np.arange(len(a)) + np.repeat(end_b - size_b, size_a)] = a
-            code[np.arange(len(b)) + np.repeat(end_a, size_b)] = b
-            ends = np.cumsum(n_a.astype(np.int64) + n_b).tolist()
-            written = [
-                hashlib.sha256(b"".join(map(shown.__getitem__, code[s:e].tolist()))[:-1]).hexdigest() if s < e else ""
-                for s, e in zip([0, *ends], ends)
-            ]
-            counts = (pa.array(n.astype(np.int64)) for n in (n_a, n_b, groups, groups))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array(written, pa.string()), batch.column(5)],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"],
-            )
-
-    return aligned.mapInArrow(digests, DIGESTS)
+    return aligned.mapInArrow(_digest, DIGESTS)
 
 
 def link_counts(rows: DataFrame, n_pairs: int) -> DataFrame:
@@ -351,6 +362,10 @@ def rate_links(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def alignment_report(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Counts, digest and rated links of every row; the texts are coded once, the links written once."""
-    aligned = align_documents(docs, a_path, b_path)
-    return rate_links(cut_lineage(group_digests(aligned)), a_path, b_path)
+    """Counts, digest and rated links of every row; the texts are coded once, the links written once.
+
+    Aligned batches go to their digests within the worker, not through the JVM and a second worker.
+    """
+    align = _align(a_path, b_path, PIECE_WORK)
+    digests = _rows(docs).mapInArrow(lambda batches: _digest(align(batches)), DIGESTS)
+    return rate_links(cut_lineage(digests), a_path, b_path)
