@@ -21,7 +21,7 @@ from regatta.catalog.base import (
 )
 from regatta.functions import arrays as A
 from regatta.operators import aggregate as agg
-from regatta.operators import assign, pairs
+from regatta.operators import assign, buckets, pairs
 
 WEIGHTED = "sum(val * weight) / sum(weight)"
 
@@ -375,3 +375,73 @@ def _user_distance(spark, sf):
     )
     d = A.distance("chebyshev", F.col("x"), F.col("y"))
     return _consecutive(spark, sf).select("entity", F.round(d, 6).alias("d"))
+
+
+# -- near pairs by hash buckets -----------------------------------------------------------------
+
+# Four drifted versions of every vector: each raises another quarter of its components by a half, so
+# versions of one vector lie about 0.05 apart and everything else far off.
+VERSIONS, NEAR_BOUND, BUCKET_RECALL = 4, 0.1, 0.97
+
+
+def drifted(spark, sf):
+    """``(entity, vector)``: the fleet at four stages of drift."""
+    stage = F.explode(F.sequence(F.lit(0), F.lit(VERSIONS - 1))).alias("stage")
+    return fleet(spark, sf).select("entity", "vector", stage).select(
+        (F.col("entity") * VERSIONS + F.col("stage")).alias("entity"),
+        F.transform(
+            "vector", lambda x, i: F.when(i % VERSIONS == F.col("stage"), x * 1.5).otherwise(x)
+        ).alias("vector"),
+    )
+
+
+DRIFTED = f"""{FLEET}, drifted AS (
+  SELECT entity * {VERSIONS} + stage AS entity,
+         [CASE WHEN i % {VERSIONS} = stage THEN vector[i + 1] * 1.5 ELSE vector[i + 1] END
+          FOR i IN range(len(vector))] AS vector
+  FROM fleet, range({VERSIONS}) t(stage))"""
+
+PLANES = f"""{DRIFTED}, size AS (
+  SELECT greatest(1, ceil(log2(greatest(2, count(*) / {buckets.BUCKET_ROWS}.0))))::INT AS bits FROM drifted),
+planes AS (
+  SELECT bits, ceil(ln(1 - {BUCKET_RECALL}) / ln(1 - pow(1 - acos(1 - {NEAR_BOUND}) / pi(), bits)))::INT AS tables
+  FROM size),
+digest AS (
+  SELECT i, b, md5(i::VARCHAR || ':' || b || ':planes') AS hex
+  FROM planes, range({DIM}) t(i), unnest(range((tables * bits + 127) // 128)) u(b)),
+signs AS (
+  SELECT j, list(CASE WHEN (('0x' || substr(hex, 1 + (j % 128)::INT // 4, 1))::INT >> (3 - j % 4)::INT) & 1 = 1
+                      THEN 1 ELSE -1 END ORDER BY i)::DOUBLE[] AS plane
+  FROM planes, unnest(range(tables * bits)) t(j) JOIN digest ON b = j // 128 GROUP BY j),
+codes AS (
+  SELECT entity, j // bits AS tab,
+         string_agg(CASE WHEN list_dot_product(vector, plane) >= 0 THEN '1' ELSE '0' END, '' ORDER BY j) AS code
+  FROM drifted, signs, planes GROUP BY entity, tab),
+met AS (
+  SELECT DISTINCT a.entity AS src, b.entity AS dst FROM codes a JOIN codes b
+    ON a.tab = b.tab AND a.code = b.code AND a.entity < b.entity),
+near AS (
+  SELECT src, dst, {DISTANCE_SQL['cosine']('a.vector', 'b.vector')} AS d
+  FROM met JOIN drifted a ON a.entity = src JOIN drifted b ON b.entity = dst
+  WHERE d <= {NEAR_BOUND})"""
+
+
+@query("j4_near_pairs_by_planes", f"WITH {PLANES} SELECT src, dst, round(d, 6) AS d FROM near")
+def _near_pairs(spark, sf):
+    return rounded(buckets.near_pairs(drifted(spark, sf), NEAR_BOUND, BUCKET_RECALL), "d")
+
+
+@query("v4_planes_audit", f"""WITH {PLANES}, wanted AS (
+  SELECT a.entity AS src, b.entity AS dst FROM drifted a JOIN drifted b ON a.entity < b.entity
+  WHERE (a.entity % 20 = 0 OR b.entity % 20 = 0)
+    AND {DISTANCE_SQL['cosine']('a.vector', 'b.vector')} <= {NEAR_BOUND})
+SELECT (SELECT count(*) FROM wanted) AS wanted,
+       (SELECT count(*) FROM wanted JOIN near USING (src, dst)) AS found,
+       (SELECT sum(n * (n - 1) / 2)::BIGINT FROM (SELECT count(*) AS n FROM codes GROUP BY tab, code)) AS compared""")
+def _planes_audit(spark, sf):
+    """Recall for ids divisible by 20 against all rows, and the comparisons made."""
+    rows = drifted(spark, sf)
+    planes = buckets.plan_planes(rows.count(), NEAR_BOUND, BUCKET_RECALL)
+    audit = buckets.recall_of(buckets.near_pairs(rows, NEAR_BOUND, BUCKET_RECALL), rows, NEAR_BOUND)
+    compared = buckets.compared_pairs(buckets.coded_rows(rows, planes, DIM))
+    return audit.withColumn("compared", compared.scalar())
