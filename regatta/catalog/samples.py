@@ -151,24 +151,49 @@ def _samples(spark, sf):
 
 WANTS = f"""wants AS (
   SELECT s_suppkey AS entity, (floor({uniform_sql('s_suppkey', 'n')} * 40) + 10)::INT AS n FROM supplier)"""
-PLACED = f"""placed AS (
-  SELECT vec_id AS sample_id,
-         row_number() OVER (ORDER BY {uniform_sql('vec_id', '%s')}, vec_id) - 1 AS pos
-  FROM embeddings), size AS (SELECT count(*) AS size FROM embeddings)"""
-
-
-def _iid_sql(start: str) -> str:
-    return f"""WITH {WANTS}, {PLACED % 11}, draws AS (
-  SELECT entity, ({start} + unnest(range(least(n, size)))) % size AS pos FROM wants, size)
-SELECT entity, sample_id FROM draws JOIN placed USING (pos)"""
-
-
-@query("r2_iid_sample", _iid_sql(f"floor({uniform_sql('entity', '11:all')} * size)::BIGINT"))
+SAMPLES = """samples AS (
+  SELECT vec_id AS sample_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS pos,
+         row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS label_pos
+  FROM embeddings)"""
+
+
+def _draws_sql(name: str, table: str, key: str, seed: str) -> str:
+    """CTEs that end in ``name``: the first ``need`` cells within ``size`` of each key's permuted grid.
+
+    ``table`` is ``(entity, label, need, size)``.
+    """
+    out = [f"""{name}_grid AS (
+  SELECT *, a * ceil(size / a)::BIGINT - size AS over, ceil(size / a)::BIGINT AS b FROM (
+    SELECT *, unnest(range(greatest(side - 63, side // 2 + 1), side + 1)) AS a
+    FROM (SELECT *, ceil(sqrt(size))::BIGINT AS side FROM {table} WHERE size > 0 AND need > 0))
+  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY a * ceil(size / a)::BIGINT - size, a) = 1),
+{name}0 AS (
+  SELECT *, cell // b AS x, cell % b AS y FROM (
+    SELECT *, unnest(range(least(need, size) + over)) AS cell FROM {name}_grid))"""]
+    for turn in range(6):
+        m = "ab"[turn % 2]
+        shift = uniform_sql(f"({key}::VARCHAR || ':{turn}:' || y)", seed)
+        out.append(f"""{name}{turn + 1} AS (
+  SELECT * EXCLUDE (x, y), y AS x, (x + floor({shift} * {m})::BIGINT) % {m} AS y FROM {name}{turn})""")
+    out.append(f"""{name} AS (
+  SELECT entity, label, x * b + y AS pos FROM {name}6 WHERE x * b + y < size
+  QUALIFY row_number() OVER (PARTITION BY entity ORDER BY cell) <= need)""")
+    return ",\n".join(out)
+
+
+def _iid_sql(key: str) -> str:
+    return f"""WITH {WANTS}, {SAMPLES}, asked AS (
+  SELECT entity, NULL AS label, n AS need, (SELECT count(*) FROM embeddings) AS size FROM wants),
+{_draws_sql("draws", "asked", key, "11:all")}
+SELECT entity, sample_id FROM draws JOIN samples USING (pos)"""
+
+
+@query("r2_iid_sample", _iid_sql("entity"))
 def _iid(spark, sf):
     return sampling.iid_sample(_wants(spark, sf), _samples(spark, sf), 11)
 
 
-@query("r2_iid_sample_shared", _iid_sql("0"))
+@query("r2_iid_sample_shared", _iid_sql("'shared'"))
 def _iid_shared(spark, sf):
     return sampling.iid_sample(_wants(spark, sf), _samples(spark, sf), 11, shared=True)
 
@@ -181,23 +206,15 @@ labelled AS (
 
 
 def _skew_sql(n: str, seed: int) -> str:
-    return f"""WITH {LABELLED}, sized AS (
+    return f"""WITH {LABELLED}, {SAMPLES}, sized AS (
   SELECT entity, label, {n} AS n, floor({n} * 70 / 100)::BIGINT AS want,
          (SELECT count(*) FROM embeddings e WHERE e.label = l.label) AS size FROM labelled l),
-first AS (
-  SELECT vec_id AS sample_id, label,
-         row_number() OVER (PARTITION BY label ORDER BY {uniform_sql('vec_id', f'{seed}:primary')}, vec_id) - 1 AS pos
-  FROM embeddings),
-{PLACED % f'{seed}:all'.replace('%', '%%')},
-one AS (
-  SELECT entity, label, (floor({uniform_sql('entity', f'{seed}:primary')} * size)::BIGINT
-         + unnest(range(least(want, size)))) % size AS pos FROM sized),
-two AS (
-  SELECT entity, (floor({uniform_sql('entity', f'{seed}:all')} * size.size)::BIGINT
-         + unnest(range(least(n - least(want, sized.size), size.size)))) % size.size AS pos
-  FROM sized, size)
-SELECT entity, sample_id, 'primary' AS part FROM one JOIN first USING (label, pos)
-UNION ALL SELECT entity, sample_id, 'any' FROM two JOIN placed USING (pos)"""
+one AS (SELECT entity, label, least(want, size) AS need, size FROM sized),
+two AS (SELECT entity, label, n - least(want, size) AS need, (SELECT count(*) FROM embeddings) AS size FROM sized),
+{_draws_sql("own", "one", "entity", f"{seed}:primary")},
+{_draws_sql("other", "two", "entity", f"{seed}:all")}
+SELECT entity, sample_id, 'primary' AS part FROM own d JOIN samples s ON s.label = d.label AND s.label_pos = d.pos
+UNION ALL SELECT entity, sample_id, 'any' FROM other d JOIN samples s ON s.pos = d.pos"""
 
 
 @query("r3_skewed_sample", _skew_sql("n", 13))

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from regatta.functions.arrays import array_sum
-from regatta.operators.common import spread_join, value_rank
+from regatta.operators.common import cut_lineage, spread_join, value_rank
 
-# Rank error asked of the quantile sketch that brackets a median.
+# Quantiles between which a group's values are counted, the accuracy asked of their sketch, and the values
+# of one group that a task may hold.
+MEDIAN_SPLITS = [i / 64 for i in range(1, 64)]
 MEDIAN_ACCURACY = 2000
+MEDIAN_FITS = 65536
 
 AggregateBuilder = Callable[[Column, Column], Column]
 
@@ -85,38 +88,100 @@ def vector_median(df: DataFrame, keys: Sequence[str], vector: str = "vector") ->
     return long_median(to_long(df, keys, vector), keys)
 
 
-def long_median(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Exact median per ``(keys, idx)`` without holding a group's values in one place.
+def _median_of_counts(counted: DataFrame, at: list[str]) -> DataFrame:
+    """``(at..., val)`` from ``(at..., _v, _c, _below, _n)``: few distinct values with their counts."""
+    upto = W.partitionBy(*at).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.withColumn("_cum", F.sum("_c").over(upto) + F.col("_below"))
 
-    A sketch gives two values that surely enclose the middle ranks. Rows below the bracket are only
-    counted; equal values inside it collapse to a count before the shuffle, and the few left are
-    ranked.
+    def at_rank(rank: Column) -> Column:
+        holds = (F.col("_cum") >= rank) & (F.col("_cum") - F.col("_c") < rank)
+        return F.max(F.when(holds, F.col("_v")))
+
+    low, high = _middle_ranks(F.col("_n"))
+    return ranked.groupBy(*at).agg(((at_rank(low) + at_rank(high)) / 2).alias("val"))
+
+
+def _middle_ranks(n: Column) -> tuple[Column, Column]:
+    return F.floor((n + 1) / 2), F.floor((n + 2) / 2)
+
+
+def _middle_range(long: DataFrame, at: list[str], known: list[str]) -> DataFrame:
+    """One round of refinement: ``(at..., _n, _below, _lo, _hi, _inside)`` of every group.
+
+    The group's values in the present range are dealt into bins between sketched quantiles, and a bin of
+    its own for every value that is a quantile; only counts, least and greatest value of the bins move.
+    What lies between the bins of the two middle ranks is the next range; ``_below`` counts what is less.
     """
-    at = [*keys, "idx"]
-    margin = 5.0 / MEDIAN_ACCURACY
-    bracket = long.groupBy(*at).agg(
-        F.count("val").alias("_n"),
-        F.percentile_approx("val", [0.5 - margin, 0.5 + margin], MEDIAN_ACCURACY).alias("_b"),
+    splits = long.groupBy(*at).agg(
+        F.percentile_approx("val", MEDIAN_SPLITS, MEDIAN_ACCURACY).alias("_s"), F.count("val").alias("_rows"),
+        *[F.first(c).alias(c) for c in known],
+    ).withColumn("_s", F.array_distinct("_s"))
+    if not known:
+        splits = splits.withColumns({"_n": F.col("_rows"), "_below": F.lit(0).cast("long")})
+    inside = long.drop(*known)
+    dealt = spread_join(inside, splits.drop("_rows"), at, ["val"])
+    less = F.size(F.filter("_s", lambda s: s < F.col("val")))
+    bins = dealt.groupBy(*at, "_n", "_below", (less * 2 + F.array_contains("_s", F.col("val")).cast("int")).alias("_b")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("val").alias("_min"), F.max("val").alias("_max")
+    )
+    upto = W.partitionBy(*at).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    ranked = bins.withColumn("_cum", F.sum("_c").over(upto) + F.col("_below"))
+    low, high = _middle_ranks(F.col("_n"))
+    before = F.col("_cum") - F.col("_c")
+    # From the bin of the lower middle rank to that of the higher one.
+    middle = ranked.where((F.col("_cum") >= low) & (before < high))
+    apart = F.count(F.lit(1)) > 1
+    # Two bins: the ranks are the last value of one and the first of the other.
+    lowest, highest = F.min_by("_max", "_b"), F.max_by("_min", "_b")
+    return middle.groupBy(*at, "_n").agg(
+        F.when(apart, F.min("_cum") - F.min_by("_c", "_b")).otherwise(F.min(before)).alias("_below"),
+        F.when(apart, lowest).otherwise(F.min("_min")).alias("_lo"),
+        F.when(apart, highest).otherwise(F.max("_max")).alias("_hi"),
+        F.when(apart | (F.min("_min") == F.max("_max")), 0).otherwise(F.sum("_c")).alias("_inside"),
     )
-    sided = spread_join(long, bracket, at, ["val"]).filter(F.col("val") <= F.col("_b")[1])
-    value = F.when(F.col("val") >= F.col("_b")[0], F.col("val"))
-    counted = sided.groupBy(*at, "_n", value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    # A null _v stands for everything below the bracket and sorts first.
-    upto = W.partitionBy(*at).orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.withColumn("_cum", F.sum("_c").over(upto))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
 
-    def holds(rank: Column) -> Column:
-        return (F.col("_cum") >= rank) & (F.col("_cum") - F.col("_c") < rank)
 
-    return (
-        ranked.groupBy(*at)
-        .agg(
-            F.max(F.when(holds(low), F.col("_v"))).alias("_low"),
-            F.max(F.when(holds(high), F.col("_v"))).alias("_high"),
-        )
-        .select(*at, ((F.col("_low") + F.col("_high")) / 2).alias("val"))
+def long_median(long: DataFrame, keys: Sequence[str], fits: int = MEDIAN_FITS) -> DataFrame:
+    """Exact median per ``(keys, idx)`` by refinement of the range that holds the middle.
+
+    While a group's range has more values than fit a task, its values are counted in bins and the range
+    shrinks to the bin of the middle ranks, to a thirtieth or less of its rows in each round, or to one
+    value. No task holds, sorts or ranks more than ``fits`` values of one group, and only the rows in the
+    ranges of large groups are read again. Values that are null do not count.
+    """
+    at = [*keys, "idx"]
+    rows = long.select(*at, "val").where(F.col("val").isNotNull())
+    counts = cut_lineage(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")))
+    large = counts.where(F.col("_n") > fits)
+    if large.isEmpty():
+        return rows.groupBy(*at).agg(F.median("val").alias("val"))
+    small = spread_join(rows, counts.where(F.col("_n") <= fits), at, ["val"]).groupBy(*at).agg(
+        F.median("val").alias("val")
     )
+    rows = spread_join(rows, large.select(*at), at, ["val"])
+    known: list[str] = []
+    done = [small]
+    while True:
+        state = cut_lineage(_middle_range(rows, at, known))
+        done.append(state.where(F.col("_inside") == 0).select(*at, ((F.col("_lo") + F.col("_hi")) / 2).alias("val")))
+        open_ = state.where(F.col("_inside") > 0)
+        largest = open_.agg(F.max("_inside").alias("n")).first()["n"]
+        if largest is None:
+            break
+        known = ["_n", "_below"]
+        ranges = open_.select(*at, *known, "_lo", "_hi")
+        rows = cut_lineage(
+            spread_join(rows.select(*at, "val"), ranges, at, ["val"])
+            .where(F.col("val").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+        )
+        if largest <= fits:
+            counted = rows.groupBy(*at, *known, F.col("val").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+            done.append(_median_of_counts(counted, at))
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def mean_pairwise_cosine(df: DataFrame, vector: str = "vector") -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from regatta.functions.hashing import entity_weight, hash_uniform
-from regatta.operators.common import spread_join, uniform_rank, value_rank
+from regatta.functions.hashing import distinct_draws, entity_weight, hash_uniform
+from regatta.operators.common import cut_lineage, spread_join, uniform_rank, value_rank
 
 # Share of a skewed sample that comes from the primary label, and the test size rule.
 PRIMARY_PERCENT = 70
@@ -59,10 +59,10 @@ def primary_labels(entities: DataFrame, mode: str = "groups", labels: int = 10)
     return spread_join(grouped, named, ["group"], ["entity"])
 
 
-def _positions(samples: DataFrame, keys: list[str], seed: int | str) -> DataFrame:
-    """Samples with a 0-based place in a seeded permutation, per ``keys``, and the group size."""
-    ranked = uniform_rank(samples, keys, hash_uniform(F.col("sample_id"), seed), "sample_id")
-    return ranked.withColumn("pos", F.col("rank") - 1).drop("rank")
+def _placed(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples with a dense 0-based place by id, per ``keys``; the same table serves every seed."""
+    ranked = value_rank(samples, keys, "sample_id")
+    return cut_lineage(ranked.withColumn("pos", F.col("rank") - 1).drop("rank"))
 
 
 def _with_sizes(wants: DataFrame, samples: DataFrame, key: str | None) -> DataFrame:
@@ -72,32 +72,29 @@ def _with_sizes(wants: DataFrame, samples: DataFrame, key: str | None) -> DataFr
     return wants.join(sizes, key, "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
 
 
-def _draws(wants: DataFrame, need: Column, seed: int | str, shared: bool, keys: list[str]) -> DataFrame:
-    """One row per wanted sample: a run of places, from an offset of the entity's own."""
-    size = F.col("_size")
-    start = F.lit(0) if shared else F.floor(hash_uniform(F.col("entity"), seed) * size)
-    count = F.least(need.cast("long"), size).cast("int")
-    drawn = wants.withColumn("_n", count).filter(F.col("_n") > 0)
-    return drawn.select(
-        "entity", *keys,
-        F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"), start.alias("_start"), "_size",
-    ).select("entity", *keys, ((F.col("_start") + F.col("_i")) % F.col("_size")).alias("pos"))
+def _drawn(wants: DataFrame, placed: DataFrame, need: str, seed: str, keys: list[str], key: Column) -> DataFrame:
+    """``(entity, sample_id)``: the samples at the places that each entity's permutation names.
+
+    Places are joined with a salt: where entities share a permutation, they share its few places.
+    """
+    draws = distinct_draws(F.col("_size"), F.col(need), key, seed)
+    places = wants.select("entity", *keys, F.explode(draws).alias("pos"))
+    return spread_join(places, placed, [*keys, "pos"], ["entity"]).select("entity", "sample_id")
 
 
 def iid_sample(
     entities: DataFrame, samples: DataFrame, seed: int | str, shared: bool = False
 ) -> DataFrame:
-    """``(entity, sample_id)``: ``n`` distinct samples for every ``(entity, n)``.
+    """``(entity, sample_id)``: ``n`` distinct samples for every ``(entity, n)``, all if there are fewer.
 
-    One permutation is ranked once; an entity reads ``n`` places of it from an offset of its own
-    (``shared``: from the start, so entities overlap fully). Work is the output, not entities x
-    samples.
+    Every entity has a permutation of its own (``shared``: one for all, so entities overlap fully),
+    computed at the places it reads: the work is the output, not entities x samples, and nothing is
+    shuffled or ranked per seed.
     """
-    placed = _positions(samples.select("sample_id"), [], seed)
-    wants = _with_sizes(entities.select("entity", "n"), samples, None)
-    return _draws(wants, F.col("n"), f"{seed}:all", shared, []).join(placed, "pos").select(
-        "entity", "sample_id"
-    )
+    placed = _placed(samples.select("sample_id"), [])
+    wants = _with_sizes(entities.select("entity", "n"), placed, None)
+    key = F.lit("shared") if shared else F.col("entity")
+    return _drawn(wants, placed, "n", f"{seed}:all", [], key)
 
 
 def skewed_sample(
@@ -109,21 +106,16 @@ def skewed_sample(
     primary label runs short, the rest makes up the number.
     """
     slim = samples.select("sample_id", "label")
-    wants = _with_sizes(entities.select("entity", "label", "n"), slim, "label")
-    wants = wants.withColumn(
+    by_label, overall = _placed(slim, ["label"]), _placed(slim.select("sample_id"), [])
+    wants = _with_sizes(entities.select("entity", "label", "n"), by_label, "label")
+    wants = cut_lineage(wants.withColumn(
         "_primary", F.least(primary_share(F.col("n")).cast("long"), F.col("_size"))
-    )
-    by_label = _positions(slim, ["label"], f"{seed}:primary")
-    primary = _draws(wants, F.col("_primary"), f"{seed}:primary", False, ["label"]).join(
-        by_label, ["label", "pos"]
-    ).select("entity", "sample_id", F.lit("primary").alias("part"))
-    overall = _positions(slim.select("sample_id"), [], f"{seed}:all")
+    ))
+    primary = _drawn(wants, by_label, "_primary", f"{seed}:primary", ["label"], F.col("entity"))
     rest = wants.select("entity", (F.col("n") - F.col("_primary")).alias("_rest"))
-    rest = _with_sizes(rest, slim, None)
-    other = _draws(rest, F.col("_rest"), f"{seed}:all", False, []).join(overall, "pos").select(
-        "entity", "sample_id", F.lit("any").alias("part")
-    )
-    return primary.unionByName(other)
+    rest = _with_sizes(rest, overall, None)
+    other = _drawn(rest, overall, "_rest", f"{seed}:all", [], F.col("entity"))
+    return primary.withColumn("part", F.lit("primary")).unionByName(other.withColumn("part", F.lit("any")))
 
 
 def run_seeds(df_or_spark, master: int, count: int) -> DataFrame:
