@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*(?:>|$)", re.I) for tag in
 HEAD = RAW_TEXT - {"textarea", "xmp", "iframe"} | {
     "base", "basefont", "bgsound", "link", "meta", "noscript", "template"}
 HIDDEN = RAW | {"select", "button", "datalist", "audio", "video"}
+# Of the hidden ones, those that hold no blocks: one left open ends where a block begins.
+NARROW = {"select", "button", "datalist", "svg", "math"}
 # Inline elements: their tags do not end a block.
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
@@ -48,7 +50,7 @@ ARTICLE_WORDS = re.compile(
 )
 _PART = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)"
-    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S,
+    r"((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|[^<]+|<", re.S,
 )
 _NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WHITE = re.compile(r"\s+")
@@ -73,14 +75,34 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
             "around", "article", "heading")
 
 
+@dataclass
+class Part:
+    """An open element: named as a part around an article or as one, and what it turned out to hold."""
+
+    tag: str
+    around: bool
+    article: bool
+    # Only its class, id or role say that it stands around.
+    by_name: bool
+    words: int = 0
+    # Words of each article or main element in it.
+    articles: list[int] = field(default_factory=list)
+
+    def stands_around(self) -> bool:
+        """A container named so that holds one article, or one that outweighs all else, is no part around it."""
+        inner = max(self.articles, default=0)
+        return self.around and not (self.by_name and (len(self.articles) == 1 or 2 * inner > self.words) and inner)
+
+
 @dataclass
 class Block:
     text: str
     words: int
     links: float
-    around: int
-    article: int
+    parts: tuple[Part, ...]
     heading: int
+    around: int = 0
+    article: int = 0
 
 
 def _named(attributes: str) -> str:
@@ -90,40 +112,48 @@ def _named(attributes: str) -> str:
 def blocks_of(page: str | None) -> list[Block]:
     """Flat blocks in page order; never fails, whatever the markup."""
     found: list[Block] = []
-    parts: list[str] = []
+    text: list[str] = []
     linked: list[str] = []
-    # Open elements that matter: (tag, in a part around, in an article).
-    open_parts: list[tuple[str, int, int]] = []
+    open_parts: list[Part] = []
     opened: Counter[str] = Counter()
-    around = article = heading = in_link = 0
+    heading = 0
+    # How many elements were open where the open link began; the link ends with the innermost of them.
+    link: int | None = None
     hidden: str | None = None
+    inner: Counter[str] = Counter()
     in_head = False
-    depth = 0
 
     def close() -> None:
-        if parts:
-            text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
-            if text:
-                words = len(text.split())
-                inside = len(html.unescape("".join(linked)).split())
-                found.append(Block(text, words, min(1.0, inside / words), int(around > 0),
-                                   int(article > 0), heading))
-            parts.clear()
+        if text:
+            whole = _WHITE.sub(" ", html.unescape("".join(text))).strip()
+            if whole:
+                words = len(whole.split())
+                inside = sum(len(html.unescape(piece).split()) for piece in linked)
+                found.append(Block(whole, words, min(1.0, inside / words), tuple(open_parts), heading))
+                for part in open_parts:
+                    part.words += words
+            text.clear()
             linked.clear()
 
     def end_open(tags: set[str], bound: set[str]) -> None:
-        nonlocal around, article
+        nonlocal link
         for at in range(len(open_parts) - 1, -1, -1):
-            if open_parts[at][0] in tags:
-                for name, a, b in open_parts[at:]:
-                    around -= a
-                    article -= b
-                    opened[name] -= 1
+            if open_parts[at].tag in tags:
+                for part in reversed(open_parts[at:]):
+                    end(part)
                 del open_parts[at:]
+                if link is not None and at < link:
+                    link = None
                 return
-            if open_parts[at][0] in bound:
+            if open_parts[at].tag in bound:
                 return
 
+    def end(part: Part) -> None:
+        opened[part.tag] -= 1
+        if part.tag in ("article", "main") and not part.around:
+            for outer in open_parts[: open_parts.index(part)]:
+                outer.articles.append(part.words)
+
     page, here = page or "", 0
     while m := _PART.match(page, here):
         here = m.end()
@@ -133,25 +163,34 @@ def blocks_of(page: str | None) -> list[Block]:
             if hidden or piece.startswith(("<!", "<?")) or (in_head and piece.isspace()):
                 continue
             in_head = False
-            parts.append(piece)
-            if in_link:
+            text.append(piece)
+            if link is not None:
                 linked.append(piece)
             continue
         tag, closing = tag.lower(), bool(m[1])
         if tag in RAW_TEXT and not closing:
             if not m[3].endswith("/"):
                 # No tag is read in here; without an end the rest of the page belongs to it.
-                end = _RAW_END[tag].search(page, here)
-                here = end.end() if end else len(page)
+                finish = _RAW_END[tag].search(page, here)
+                here = finish.end() if finish else len(page)
             if not hidden and tag not in HEAD:
                 in_head = False
             continue
         if hidden:
-            if tag == hidden:
-                depth += -1 if closing else int(hidden not in RAW)
-                if depth <= 0:
+            # A hidden element ends at its own end tag, with the element around it, or, if it holds no
+            # blocks, where one begins.
+            if closing and inner[tag] > 0:
+                inner[tag] -= 1
+                if tag == hidden and not inner[tag]:
                     hidden = None
-            continue
+                continue
+            if closing and not opened[tag]:
+                continue
+            if not closing and not (hidden in NARROW and tag in ENDS_P):
+                if tag not in VOID and not m[3].endswith("/"):
+                    inner[tag] += 1
+                continue
+            hidden = None
         if tag == "head":
             in_head = not closing
             continue
@@ -159,10 +198,12 @@ def blocks_of(page: str | None) -> list[Block]:
         in_head &= closing or tag in HEAD
         if tag in HIDDEN and not closing:
             if not m[3].endswith("/"):
-                hidden, depth = tag, 1
+                hidden = tag
+                inner.clear()
+                inner[tag] = 1
             continue
         if tag == "a":
-            in_link = 0 if closing else 1
+            link = None if closing else len(open_parts)
         if tag in INLINE:
             continue
         close()
@@ -174,23 +215,28 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         heading = int(tag[0] == "h" and tag[1:].isdigit() and not closing)
-        in_link = 0
         if closing:
             # An element that was never closed ends with the one around it.
             if opened[tag]:
                 end_open({tag}, set())
             continue
-        if tag == "option":
+        if tag in ("option", "html", "body"):
             continue
         name = _named(m[3]) if "=" in m[3] else ""
-        # A header within an article is the article's own.
-        outside = int((tag in AROUND and not (tag == "header" and article)) or bool(name and AROUND_WORDS.search(name)))
-        inside = int(tag in ("article", "main") or bool(name and not outside and ARTICLE_WORDS.search(name)))
-        open_parts.append((tag, outside, inside))
+        says_article, says_around = bool(ARTICLE_WORDS.search(name)), bool(AROUND_WORDS.search(name))
+        whole = tag in ("article", "main")
+        # A header within an article is the article's own; an article named as both is an article.
+        own_header = tag == "header" and any(part.tag == "article" for part in open_parts)
+        by_tag = tag in AROUND and not own_header
+        outside = by_tag or (says_around and not own_header and not (whole and says_article))
+        open_parts.append(Part(tag, outside, not outside and (whole or says_article), not by_tag and not whole))
         opened[tag] += 1
-        around += outside
-        article += inside
     close()
+    for part in reversed(open_parts):
+        end(part)
+    for block in found:
+        block.around = int(any(part.stands_around() for part in block.parts))
+        block.article = int(any(part.article for part in block.parts))
     return found
 
 
@@ -256,8 +302,45 @@ SAMPLE_PAGES = [
      "them could score before the break.</p><p>After it the rain made the field so wet that the ball "
      "stopped dead wherever it fell to the ground.</p>", "-++"),
     ("<p>We found nothing here.</p>", "-"),
+    # The same short blocks, told apart by their links and neighbours alone.
+    ("<div><a href='1'>North</a> <a href='2'>South</a> <a href='3'>East</a></div><div><p>The ferry did not sail on "
+     "Sunday, as the wind had turned and the harbour master would not let her go.</p><p>On Monday she left at "
+     "dawn with half of her cargo and none of the mail.</p></div><div><a href='4'>More of the coast</a></div><div>"
+     "<a href='5'>Ships and their owners</a></div>", "-++--"),
+    ("<article><h1>Snow</h1><p>The pass is closed until the thaw.</p><p>Two roads in the valley are open again, said "
+     "the warden on the radio this morning.</p><ul><li><a href='1'>Ten huts for the winter</a></li><li><a href='2'>How "
+     "to read the sky</a></li><li><a href='3'>All about snow shoes</a></li></ul></article>", "+++---"),
+    ("<main><h1>Glass</h1><p>The furnace burns day and night, and the men who feed it sleep in turns beside the "
+     "door.</p><a href='n'><div><h3>A town of bells</h3><p>What the founders left behind</p></div></a><a href='o'><div>"
+     "<h3>The last weaver</h3><p>A visit to her loom</p></div></a></main>", "++----"),
+    ("<div><p>By <a href='/w'>our writer</a> in the north, who has known the lake since childhood and walks there "
+     "every day.</p><p>Few birds came.</p><p>The reeds were cut too early, <a href='/r'>a study</a> found, and the "
+     "nests of the year before were gone when spring began.</p></div><div><a href='/x'>Birds</a> | <a href='/y'>Lakes"
+     "</a> | <a href='/z'>Reeds and rushes</a></div>", "+++-"),
+    ("<div><a href='/'>The Evening Star</a></div><div><a href='/in'>Enter</a></div><h1>Salt</h1><p>It was dug here for "
+     "a thousand years.</p><p>When the mine closed, the men took the train to the coast and few of them returned to "
+     "the hills.</p><p><a href='/s'>Next: the story of the train to the coast</a></p>", "--+++-"),
+    ("<section><h2>Honey</h2><p>Bees do not fly in the rain.</p><p>Their keeper waits in the hut, and writes down what "
+     "the scales below each hive have shown since noon.</p></section><section><p><a href='1'>Wax</a></p><p><a "
+     "href='2'>Hives for beginners</a></p><p><a href='3'>The dance that leads them home again</a></p></section>",
+     "+++---"),
+    ("<article><p>See <a href='m'>the map</a>.</p><p>Both paths lead up to the chapel, but only the left one is marked "
+     "and safe after dark.</p></article><div><p><a href='1'>Chapels of the south</a></p></div>", "++-"),
+    ("<article><p>A short walk</p><p>Two hours<br>up to <a href='t'>the tower</a></p><p>Bring <a href='b'>boots</a>.</p>"
+     "</article>", "++++"),
+    ("<article><p>The shop is open all week.</p><p>Call <a href='c'>the owner</a></p></article><div><a href='1'>Shops"
+     "</a></div>", "++-"),
+    ("<article><h1>Peat</h1><p>It burns slowly and smells of autumn, and the island had nothing else for its stoves."
+     "</p></article><a href='1'><div><h3>One more tale</h3><p>of islands and smoke</p></div></a><a href='2'><div><h3>Old "
+     "boats</h3><p>by the pier at night</p></div></a>", "++----"),
+    ("<div><h1>Rain</h1><p>It fell for six days on the roofs of the town and on the seventh the cellars were full.</p>"
+     "</div><a href='1'><p>Sun</p></a><a href='2'><p>Wind and the sea</p></a>", "++--"),
+    ("<article><p>Nothing is lost.</p></article><a href='1'><h3>Found things</h3></a>", "+-"),
+    ("<div class='page search'><article><h1>Clay</h1><p>Wet it, wedge it, throw it.</p><p>Then let the bowl dry for "
+     "a week under a cloth before it goes near the kiln.</p></article></div><div class='search'><p>What are you "
+     "looking for today on our pages, and in which year was it written?</p></div>", "+++-"),
 ]
-MAX_DEPTH, MIN_LEAF = 6, 1
+MAX_DEPTH, MIN_LEAF = 7, 1
 
 
 def fit_tree(points: np.ndarray, marks: np.ndarray, depth: int = MAX_DEPTH) -> tuple | float:
