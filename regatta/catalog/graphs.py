@@ -121,16 +121,22 @@ def _leiden_step(spark, sf):
     return G.leiden_step(trade_edges(spark, sf), trade_labels(spark, sf))
 
 
-@query("k6_strongest_neighbour_refine", f"""WITH {TRADE.replace(" AS (", " AS MATERIALIZED (")},
-best AS MATERIALIZED (
-  SELECT e.src, l.community AS best,
-         row_number() OVER (PARTITION BY e.src ORDER BY e.w DESC, e.dst) AS r
-  FROM edges e JOIN labels l ON l.node = e.dst)
-SELECT l.node, CASE WHEN b.best <> l.community AND t.w > coalesce(h.w, 0) THEN b.best
-                    ELSE l.community END AS community
-FROM labels l LEFT JOIN best b ON b.src = l.node AND b.r = 1
-LEFT JOIN kin t ON t.src = l.node AND t.community = b.best
-LEFT JOIN kin h ON h.src = l.node AND h.community = l.community""")
+@query("k6_strongest_neighbour_refine", """WITH half AS (
+  SELECT o_custkey * 2 AS src, l_partkey * 2 + 1 AS dst, sum(l_quantity) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+labels AS (
+  SELECT c_custkey * 2 AS node, c_nationkey::BIGINT AS community FROM customer
+  UNION ALL SELECT p_partkey * 2 + 1, floor(p_size / 2)::BIGINT FROM part),
+grouped AS (
+  SELECT e.src, l.community, sum(e.w) AS w, max(struct_pack(w := e.w, least := -e.dst)) AS top
+  FROM (SELECT src, dst, w FROM half UNION ALL SELECT dst, src, w FROM half) e
+  JOIN labels l ON l.node = e.dst GROUP BY e.src, l.community),
+chosen AS (SELECT src, arg_max(community, top) AS best, arg_max(w, top) AS there FROM grouped GROUP BY src),
+own AS (
+  SELECT l.node, l.community, coalesce(g.w, 0) AS here
+  FROM labels l LEFT JOIN grouped g ON g.src = l.node AND g.community = l.community)
+SELECT o.node, CASE WHEN c.best <> o.community AND c.there > o.here THEN c.best ELSE o.community END AS community
+FROM own o LEFT JOIN chosen c ON c.src = o.node""")
 def _refine(spark, sf):
     return G.strongest_neighbour_refine(trade_edges(spark, sf), trade_labels(spark, sf))
 

@@ -62,6 +62,14 @@ def _median_lines(spark, sf):
     return rounded(agg.vector_median(lines, ["l_suppkey"]), "val", digits=4)
 
 
+@query("a4_median_of_all_lines", f"""{LINE_LONG}
+SELECT idx, round(median(val), 4) AS val FROM long GROUP BY idx""")
+def _median_all(spark, sf):
+    """One group of all rows, refined until what is left of it fits a small task."""
+    lines = read(spark, sf, "lineitem").select(F.array(*LINE_PARTS).alias("vector"))
+    return rounded(agg.long_median(agg.to_long(lines, []), [], 1024), "val", digits=4)
+
+
 @query("a5_cluster_weighted_mean", f"""WITH {LONG}, top AS (
   SELECT entity, (list_position(vector, list_max(vector)) - 1)::INT % 4 AS part FROM fleet)
 SELECT part, idx, round({WEIGHTED}, 6) AS val, 1 AS version
