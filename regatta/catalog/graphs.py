@@ -12,6 +12,7 @@ from regatta.catalog.base import (
     cluster_means,
     cosine_sql,
     fleet,
+    l1_sql,
     query,
     rounded,
     trade_edges,
@@ -235,6 +236,12 @@ def _silhouette(spark, sf):
     return rounded(Q.silhouette(segmented(spark, sf), "cosine"), "silhouette")
 
 
+@query("k23_silhouette_l1", f"""WITH {SEGMENT_LABELS},
+{_silhouette_sql(l1_sql('a.vector', 'b.vector'), 'part')}""")
+def _silhouette_l1(spark, sf):
+    return rounded(Q.silhouette(segmented(spark, sf), "l1"), "silhouette")
+
+
 @query("k23_silhouette_of_fleet", f"""WITH {MEANS}, part AS (
   SELECT cluster AS entity, cluster % 3 AS cluster, vector FROM means),
 {_silhouette_sql('list_distance(a.vector, b.vector)', 'part')}""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from regatta.functions.arrays import argmax, cross_entropy, dot, unit
 from regatta.operators.common import LOOKUP_LIMIT, lookup
 from regatta.operators.pairs import cluster_distance_sums
+from regatta.operators.ranked_l1 import own_and_nearest
 
 
 def _silhouette_from_means(means: DataFrame) -> DataFrame:
@@ -22,6 +23,11 @@ def _silhouette_from_means(means: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(own & (F.col("n") > 0), mean)), F.lit(0.0)).alias("a"),
         F.min(F.when(~own & (F.col("n") > 0), mean)).alias("b"),
     )
+    return _scored(per)
+
+
+def _scored(per: DataFrame) -> DataFrame:
+    """``(entity, cluster, s)`` from ``(entity, cluster, a, b)``; without another cluster b is a."""
     b = F.coalesce("b", "a")
     top = F.greatest(F.col("a"), b)
     return per.select(
@@ -53,8 +59,11 @@ def silhouette_scores(
     """``(entity, cluster, s)`` of ``(entity, cluster, vector)``.
 
     Cosine needs no pairs: the mean distance of x to cluster C is 1 - x.mean(C) over unit vectors.
-    More clusters than a lookup holds, or another metric, go through block sums.
+    Neither does L1, whose sums come from ranks per index (``ranked_l1``). More clusters than a lookup
+    holds under cosine, or another metric, go through block sums.
     """
+    if metric == "l1":
+        return _scored(own_and_nearest(df))
     few = metric == "cosine" and (
         df.select("cluster").distinct().limit(cluster_limit + 1).count() <= cluster_limit
     )
