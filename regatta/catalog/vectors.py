@@ -434,22 +434,26 @@ near AS (
   WHERE d <= {NEAR_BOUND})"""
 
 
-@query("j4_near_pairs_by_planes", f"WITH {PLANES} SELECT src, dst, round(d, 6) AS d FROM near")
-def _near_pairs(spark, sf):
-    return rounded(buckets.near_pairs(drifted(spark, sf), NEAR_BOUND, BUCKET_RECALL), "d")
+LINKS = f"""{PLANES}, links AS (
+  SELECT entity, count(*) AS n_links, min(d) AS nearest
+  FROM (SELECT src AS entity, d FROM near UNION ALL SELECT dst, d FROM near) GROUP BY entity)"""
 
 
-@query("v4_planes_audit", f"""WITH {PLANES}, wanted AS (
-  SELECT a.entity AS src, b.entity AS dst FROM drifted a JOIN drifted b ON a.entity < b.entity
-  WHERE (a.entity % 20 = 0 OR b.entity % 20 = 0)
-    AND {DISTANCE_SQL['cosine']('a.vector', 'b.vector')} <= {NEAR_BOUND})
-SELECT (SELECT count(*) FROM wanted) AS wanted,
-       (SELECT count(*) FROM wanted JOIN near USING (src, dst)) AS found,
+@query("j4_near_links_by_planes", f"WITH {LINKS} SELECT entity, n_links, round(nearest, 6) AS nearest FROM links")
+def _near_links(spark, sf):
+    return rounded(buckets.near_links(drifted(spark, sf), NEAR_BOUND, BUCKET_RECALL), "nearest")
+
+
+@query("v4_planes_audit", f"""WITH {LINKS}, wanted AS (
+  SELECT a.entity, count(*) AS n FROM drifted a JOIN drifted b ON a.entity <> b.entity
+  WHERE a.entity % 20 = 0 AND {DISTANCE_SQL['cosine']('a.vector', 'b.vector')} <= {NEAR_BOUND} GROUP BY a.entity)
+SELECT (SELECT sum(n) FROM wanted)::BIGINT AS wanted,
+       (SELECT sum(n_links) FROM links WHERE entity % 20 = 0)::BIGINT AS found,
        (SELECT sum(n * (n - 1) / 2)::BIGINT FROM (SELECT count(*) AS n FROM codes GROUP BY tab, code)) AS compared""")
 def _planes_audit(spark, sf):
     """Recall for ids divisible by 20 against all rows, and the comparisons made."""
     rows = drifted(spark, sf)
     planes = buckets.plan_planes(rows.count(), NEAR_BOUND, BUCKET_RECALL)
-    audit = buckets.recall_of(buckets.near_pairs(rows, NEAR_BOUND, BUCKET_RECALL), rows, NEAR_BOUND)
+    audit = buckets.recall_of(buckets.near_links(rows, NEAR_BOUND, BUCKET_RECALL), rows, NEAR_BOUND)
     compared = buckets.compared_pairs(buckets.coded_rows(rows, planes, DIM))
     return audit.withColumn("compared", compared.scalar())
