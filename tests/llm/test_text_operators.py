@@ -317,6 +317,43 @@ def test_word_by_word_ids_equal_whole_text_ids():
     assert [np.frombuffer(c, "<u4").tolist() + [2] for c in coded] == [plain_ids(t) for t in odd]
 
 
+@pytest.mark.parametrize("length", [1366, 2049, 3000, 4095, 0])
+def test_rests_are_cut_at_window_edges_below_one_percent_of_padding(length):
+    lengths = np.full(1024, length) if length else np.random.default_rng(3).integers(1, 4096, 1024)
+    item, start, size, window = packing.pack_rests(lengths)
+    assert np.bincount(item, size).tolist() == lengths.tolist() and size.min() > 0
+    assert np.bincount(window, size).max() <= packing.CAPACITY
+    assert (window.max() + 1) * packing.CAPACITY * 0.99 < lengths.sum()
+    for i in set(item[start > 0].tolist()):
+        at = np.sort(start[item == i])
+        assert (at % packing.GRID == 0).all() and at[0] == 0
+
+
+def test_checksums_of_parts_come_from_those_of_the_grid():
+    ids = np.random.default_rng(4).integers(0, 50000, 205).astype("<u4")
+    marks = np.frombuffer(packing.grid_checksums(ids.tobytes()), "<u4").tolist() + [zlib.crc32(ids.tobytes())]
+    ends = [*range(0, 205, packing.GRID), 205]
+    for a in range(len(ends)):
+        for b in range(a + 1, len(ends)):
+            own = zlib.crc32(ids[ends[a]: ends[b]].tobytes())
+            assert packing.checksum_between(marks[a], marks[b], ends[b] - ends[a]) == own
+
+
+def test_cut_rests_are_whole_and_sequences_do_not_depend_on_layout(spark):
+    words = "river stone lamp window paper garden".split()
+    texts = [(i, " ".join(words[(i * k) % 6] for k in range(2300))) for i in range(1, 25)]
+    docs = spark.createDataFrame(texts + [texts[0]] * 3, "doc_id long, text string")
+    ids = {i: plain_ids(t) for i, t in texts}
+    assert all(2048 < len(x) < 4096 for x in ids.values())
+    one = packing.pack_documents(docs.coalesce(1), PATH).collect()
+    other = packing.pack_documents(docs.repartition(7, "text"), PATH).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, other))
+    alone = packing.pack_documents(docs.dropDuplicates(), PATH).collect()
+    windows = check_packing(alone, ids)
+    assert windows <= sum(map(len, ids.values())) // packing.CAPACITY + 2
+    assert len(alone) > len(ids)
+
+
 def test_differencing_raises_the_number_of_windows():
     lengths = np.array([3000, 3000, 3000, 90, 80])
     windows = packing.fill_windows(lengths)
