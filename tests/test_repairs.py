@@ -105,3 +105,25 @@ def test_eigen_queries_settle_and_keep_every_cluster_and_node(spark, monkeypatch
     assert {r["node"] for r in rows} == set(range(38)) and len(rows) == 38 * 3
     assert all(r["val"] == 0 for r in rows if r["node"] >= 36)
     assert gap["settled"] in (True, False) and len({r["settled"] for r in rows}) == 1
+
+
+def test_eigenvectors_settle_to_the_exact_ones(spark):
+    import numpy as np
+
+    from regatta.operators import spectral as S
+
+    rng = np.random.default_rng(8)
+    a = np.triu((rng.random((150, 150)) < 0.06) * rng.random((150, 150)), 1)
+    a = a + a.T
+    src, dst = np.nonzero(a)
+    rows = [(int(i), int(j), float(a[i, j])) for i, j in zip(src, dst, strict=True)]
+    edges = spark.createDataFrame(rows, "src long, dst long, w double")
+    values, vectors, residual = S.eigenvectors_and_residual(edges, 3)
+    linked = np.flatnonzero(a.sum(1))
+    a = a[np.ix_(linked, linked)]
+    root = np.sqrt(a.sum(1))
+    laplacian = np.eye(len(a)) - a / np.outer(root, root)
+    x = np.array([r["x"] for r in vectors.orderBy("node").collect()])
+    assert residual < S.TOLERANCE and np.allclose(values, np.linalg.eigvalsh(laplacian)[:3], atol=1e-9)
+    assert np.abs(laplacian @ x - x * values).max() < S.TOLERANCE
+    assert np.allclose(x.T @ x, np.eye(3), atol=1e-8)
