@@ -21,7 +21,7 @@ from regatta.catalog.base import (
 from regatta.functions import arrays as A
 from regatta.functions.hashing import hash_uniform
 from regatta.operators import aggregate as agg
-from regatta.operators import assign, projection, quality, sampling, scoring
+from regatta.operators import assign, gradient, projection, quality, sampling, scoring
 from regatta.operators.common import cut_lineage
 
 # -- joins and assignment -----------------------------------------------------------------------
@@ -396,6 +396,65 @@ def _train(spark, sf):
                       F.round(A.norm(F.col("vector")), 6).alias("length"))
 
 
+STEP_RATE, STEP_EPOCHS, STEP_BATCHES = 0.5, 2, 2
+
+
+def _gradient_step_sql(n: int) -> str:
+    """SQL of step ``n``: outputs, errors and summed gradients of one mini-batch, and the models after it."""
+    first, second = DIM * HIDDEN, DIM * HIDDEN + HIDDEN
+    ins, hid, out = f"range(1, {DIM + 1})", f"range(1, {HIDDEN + 1})", f"range(1, {OUT + 1})"
+    return f"""
+hid{n} AS (
+  SELECT r.*, m.w, [1 / (1 + exp(-(list_sum([r.x[i] * m.w[(i - 1) * {HIDDEN} + j] FOR i IN {ins}])
+                                   + m.w[{first} + j]))) FOR j IN {hid}] AS h
+  FROM rows r JOIN m{n} m USING (entity) WHERE r.batch = {n % STEP_BATCHES}),
+z{n} AS (
+  SELECT *, [exp(list_sum([h[j] * w[{second} + (j - 1) * {OUT} + o] FOR j IN {hid}])
+                 + w[{second + HIDDEN * OUT} + o]) FOR o IN {out}] AS e FROM hid{n}),
+d{n} AS (
+  SELECT *, -ln(greatest(1e-7, least(1 - 1e-7, e[label + 1] / list_sum(e)))) AS loss,
+         [e[o] / list_sum(e) - (o = label + 1)::INT FOR o IN {out}] AS d FROM z{n}),
+back{n} AS (
+  SELECT *, [list_sum([w[{second} + (j - 1) * {OUT} + o] * d[o] FOR o IN {out}]) * h[j] * (1 - h[j])
+             FOR j IN {hid}] AS dh FROM d{n}),
+long{n} AS (
+  SELECT entity, unnest(g) AS val, unnest(range(len(g))) AS idx FROM (
+    SELECT entity, flatten([[x[i] * dh[j] FOR j IN {hid}] FOR i IN {ins}]) || dh
+                   || flatten([[h[j] * d[o] FOR o IN {out}] FOR j IN {hid}]) || d AS g FROM back{n})),
+g{n} AS (
+  SELECT entity, list(val ORDER BY idx) AS g FROM (
+    SELECT entity, idx, avg(val) AS val FROM long{n} GROUP BY ALL) GROUP BY entity),
+l{n} AS (SELECT entity, sum(loss) AS lost, count(*) AS seen FROM d{n} GROUP BY entity),
+m{n + 1} AS MATERIALIZED (
+  SELECT entity, CASE WHEN g IS NULL THEN w ELSE
+    [w[i] - {STEP_RATE} * g[i] FOR i IN range(1, {MODEL_SIZE + 1})] END AS w
+  FROM m{n} LEFT JOIN g{n} USING (entity))"""
+
+
+STEPS = STEP_EPOCHS * STEP_BATCHES
+LAST_LOSSES = " UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(STEPS - STEP_BATCHES, STEPS))
+
+
+@query("t1_train_by_gradients", f"""WITH {FLEET}, {_xavier_sql('init')},
+rows AS MATERIALIZED (
+  SELECT entity % 5 AS entity, vector AS x, cluster AS label,
+         floor({uniform_sql('entity', 'batch:0')} * {STEP_BATCHES})::INT AS batch FROM fleet),
+m0 AS MATERIALIZED (
+  SELECT entity, list(val ORDER BY idx) AS w FROM (SELECT DISTINCT entity FROM rows), model GROUP BY entity),
+{','.join(_gradient_step_sql(n) for n in range(STEPS))},
+sizes AS (SELECT entity, count(*) AS n FROM rows GROUP BY entity),
+losses AS (SELECT entity, sum(lost) / sum(seen) AS loss FROM ({LAST_LOSSES}) GROUP BY entity)
+SELECT entity, n, round(loss, 6) AS loss, unnest(range({MODEL_SIZE}))::INT AS idx, round(unnest(w), 6) AS val
+FROM m{STEPS} JOIN sizes USING (entity) JOIN losses USING (entity)""")
+def _train_by_gradients(spark, sf):
+    rows = _training_rows(spark, sf)
+    starts = _start_vectors(spark, rows.select("entity").distinct())
+    out = gradient.train_by_gradients(
+        rows, starts, SMALL_SHAPE, STEP_RATE, STEP_EPOCHS, STEP_BATCHES
+    )
+    return rounded(out.select("entity", "n", "loss", F.posexplode("vector").alias("idx", "val")), "loss", "val")
+
+
 @query("t3_parameter_averaging_rounds")
 def _rounds(spark, sf):
     from regatta.plans.rounds import fit_rounds

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +18,8 @@ from regatta.operators.common import cut_lineage, spread_join, value_rank
 MEDIAN_SPLITS = [i / 64 for i in range(1, 64)]
 MEDIAN_ACCURACY = 2000
 MEDIAN_FITS = 65536
+# Arrays that one task adds up in a tree of sums.
+BRANCH = 64
 
 AggregateBuilder = Callable[[Column, Column], Column]
 
@@ -74,6 +78,30 @@ def vector_aggregate(
     )
 
 
+def sum_arrays(parts: DataFrame, keys: Sequence[str], member: str, members: int) -> DataFrame:
+    """``(keys..., part)``: the arrays ``part`` of each key added up element by element.
+
+    ``member`` numbers the rows of a key from 0, ``members`` of them at most. They meet in a tree, ``BRANCH``
+    to a task, so a key of any number of rows is bounded; rows of one member are added in its task.
+    Within a task they are added by member, so the sum does not depend on their arrival.
+    """
+    names = [*keys, member, "part"]
+    parts = parts.select(*names)
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum(np.stack(pdf.sort_values("_from")["part"].to_numpy()), axis=0)
+        return pdf[names[:-1]].iloc[:1].assign(part=[total])
+
+    while True:
+        up = parts.withColumn("_from", F.col(member)).withColumn(
+            member, F.floor(F.col(member) / BRANCH).cast("int")
+        )
+        parts = up.groupBy(*keys, member).applyInPandas(add, parts.schema)
+        members = -(-members // BRANCH)
+        if members <= 1:
+            return parts.select(*keys, "part")
+
+
 def scalar_vector_aggregate(
     df: DataFrame, keys: Sequence[str], parts: Sequence[str], how: str, weight: str
 ) -> DataFrame:

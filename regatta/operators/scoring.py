@@ -62,7 +62,7 @@ def forward_column(
     return softmax(dense_column(inner, w2, b2, out))
 
 
-class _Net:
+class Net:
     """Numpy view of a flat model vector; a helper for tasks."""
 
     def __init__(self, flat: np.ndarray, n_in: int, n_hidden: int, n_out: int) -> None:
@@ -87,7 +87,7 @@ def score(
     flat = np.asarray(model, float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = _Net(flat, n_in, n_hidden, n_out)
+        net = Net(flat, n_in, n_hidden, n_out)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -99,7 +99,7 @@ def score(
     return samples.mapInPandas(run, f"{schema}, probs array<double>")
 
 
-def _sharded(
+def sharded(
     samples: DataFrame, shard_rows: int, salt: str
 ) -> tuple[DataFrame, DataFrame]:
     """Samples with a hash ``shard`` of about ``shard_rows`` rows, and ``(entity, _shards)``."""
@@ -112,7 +112,7 @@ def _sharded(
     return tagged.drop("_shards"), plan
 
 
-def _per_shard(plan: DataFrame, models: DataFrame) -> DataFrame:
+def per_shard(plan: DataFrame, models: DataFrame) -> DataFrame:
     """One copy of an entity's model row per shard of its samples."""
     return plan.join(models, "entity").withColumn(
         "piece", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1))
@@ -129,15 +129,15 @@ def score_per_entity(
     """
     # Samples of an entity without a model have no score, and no empty group to make.
     samples = samples.join(models.select("entity"), "entity", "left_semi")
-    tagged, plan = _sharded(samples, shard_rows, "score")
-    pieces = _per_shard(plan, models.select("entity", F.col("vector").alias("_model")))
+    tagged, plan = sharded(samples, shard_rows, "score")
+    pieces = per_shard(plan, models.select("entity", F.col("vector").alias("_model")))
     kept = [f for f in samples.schema.fields if f.name != "features"]
     names = [f.name for f in kept]
 
     def run(key, data: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if data.empty or model.empty:
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in [*names, "probs"]})
-        net = _Net(np.asarray(model["_model"].iat[0], float), n_in, n_hidden, n_out)
+        net = Net(np.asarray(model["_model"].iat[0], float), n_in, n_hidden, n_out)
         x = np.stack(data["features"].to_numpy()).astype(float)
         return data[names].assign(probs=list(net.forward(x)[1]))
 
@@ -153,7 +153,7 @@ def _fit(
 ) -> tuple[np.ndarray, float]:
     """Per-sample gradient steps; ``mu`` pulls towards the start vector (proximal term)."""
     start = flat.copy()
-    net = _Net(flat.copy(), *shape)
+    net = Net(flat.copy(), *shape)
     loss = 0.0
     for _ in range(epochs):
         total = 0.0
@@ -189,10 +189,10 @@ def train_per_entity(
     averaged by their row counts; so no task holds more than a shard. ``epochs`` may also come per
     entity as a column of ``starts``.
     """
-    tagged, plan = _sharded(samples.select("entity", "sample_id", "features", "label"), shard_rows,
+    tagged, plan = sharded(samples.select("entity", "sample_id", "features", "label"), shard_rows,
                             str(seed))
     effort = F.col("epochs") if "epochs" in starts.columns else F.lit(epochs)
-    pieces = _per_shard(plan, starts.select(
+    pieces = per_shard(plan, starts.select(
         "entity", F.col("vector").alias("start"), effort.cast("int").alias("epochs")
     ))
 
