@@ -470,6 +470,39 @@ def _pca(spark, sf):
     return rounded(projection.pca_positions(fleet(spark, sf), ["entity", "cluster"]), "x", "y", "z")
 
 
+SQUARINGS = 14
+
+
+def _leading_sql(c: int) -> str:
+    """SQL of component ``c``: the covariance left, squared until one direction stands, and its variance."""
+    squares = "".join(f"""
+p{c}_{i + 1} AS MATERIALIZED (
+  SELECT a, b, v / t AS v FROM (
+    SELECT x.a, y.b, sum(x.v * y.v) AS v FROM p{c}_{i} x JOIN p{c}_{i} y ON x.b = y.a GROUP BY ALL),
+    (SELECT sum(v * v) AS t FROM p{c}_{i})),""" for i in range(SQUARINGS))
+    last = f"p{c}_{SQUARINGS}"
+    return f"""
+p{c}_0 AS MATERIALIZED (SELECT a, b, v / (SELECT sum(v) FROM c{c} WHERE a = b) AS v FROM c{c}),{squares}
+e{c} AS MATERIALIZED (
+  SELECT sum(c.v * p.v) AS variance FROM c{c} c JOIN {last} p ON p.a = c.b AND p.b = c.a),
+c{c + 1} AS MATERIALIZED (
+  SELECT c.a, c.b, c.v - e.variance * p.v AS v FROM c{c} c JOIN {last} p USING (a, b), e{c} e)"""
+
+
+@query("t5_explained_variance", f"""WITH {LONG},
+means AS (SELECT idx, avg(val) AS m FROM long GROUP BY idx),
+away AS MATERIALIZED (SELECT entity, idx, val - m AS val FROM long JOIN means USING (idx)),
+c0 AS MATERIALIZED (
+  SELECT x.idx AS a, y.idx AS b, sum(x.val * y.val) / ((SELECT count(*) FROM fleet) - 1) AS v
+  FROM away x JOIN away y USING (entity) GROUP BY ALL),
+{','.join(_leading_sql(c) for c in range(3))},
+total AS (SELECT sum(v) AS total FROM c0 WHERE a = b),
+every AS ({' UNION ALL '.join(f'SELECT {c}::INT AS component, variance FROM e{c}' for c in range(3))})
+SELECT component, round(variance, 6) AS variance, round(variance / total, 6) AS share FROM every, total""")
+def _explained(spark, sf):
+    return rounded(projection.explained_variance(fleet(spark, sf)), "variance", "share")
+
+
 @query("t6_scale_to_box", f"""WITH {FLEET}, c AS (
   SELECT entity, {every_sql(3, 0)} * 9 AS x, {every_sql(3, 1)} * 9 AS y, {every_sql(3, 2)} * 9 AS z FROM fleet),
 f AS (SELECT 5 / greatest(max(greatest(abs(x), abs(y), abs(z))), 1) AS f FROM c)

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regatta.functions.arrays import array_sum
 from regatta.functions.hashing import hash_uniform
-from regatta.operators.aggregate import to_long
+from regatta.operators.aggregate import sum_arrays, to_long
 from regatta.operators.common import spread_join
 
-# Half width of the box positions are scaled into, and power iterations.
+# Fixed value: half width of the box positions are scaled into.
 BOX = 5.0
-POWER_ITERATIONS = 10
-# Widest vector whose covariance is formed; beyond it, power iteration on the rows.
-COVARIANCE_WIDTH = 2048
+# Columns of a block of the range finder, blocks its range may hold, and scans at most.
+BLOCK = 32
+WIDEST = 4
+PASSES = 60
+# Residual of a settled direction, as a share of the largest variance.
+TOLERANCE = 1e-7
+# Elements of a sum that travel in one row.
+SLICE = 16384
 
 
 def with_kind(**tables: DataFrame) -> DataFrame:
@@ -34,48 +40,122 @@ def with_kind(**tables: DataFrame) -> DataFrame:
     return out
 
 
-def principal_components(
-    df: DataFrame, k: int = 3, vector: str = "vector"
-) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and ``k`` orthonormal directions, each with its largest loading positive."""
-    rows = df.select(F.col(vector).cast("array<double>").alias("v"))
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    sums = rows.select(F.posexplode("v").alias("idx", "val")).groupBy("idx").agg(F.avg("val").alias("m"))
-    mean = np.zeros(width)
-    for row in sums.collect():
-        mean[row["idx"]] = row["m"]
+class Components(NamedTuple):
+    """Mean, orthonormal directions (rows), the variance along each, and whether they settled."""
+
+    mean: np.ndarray
+    basis: np.ndarray
+    variances: np.ndarray
+    settled: bool
+
+
+def _scan_sums(
+    rows: DataFrame, width: int, columns: int, members: int, part: Callable[[np.ndarray], np.ndarray]
+) -> np.ndarray:
+    """``sum(part(block))`` over blocks of rows, ``width x columns``: summed per task, then in a tree."""
+    whole = max(1, SLICE // columns) * columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(width * columns)
+        for pdf in batches:
+            if not pdf.empty:
+                total += part(np.stack(pdf["v"].to_numpy()).astype(float)).ravel()
+        at = range(0, len(total), whole)
+        yield pd.DataFrame({
+            "at": [*at], "task": TaskContext.get().partitionId(), "part": [total[i:i + whole] for i in at],
+        })
+
+    slices = rows.mapInPandas(run, "at int, task int, part array<double>")
+    found = sum_arrays(slices, ["at"], "task", members).toPandas().sort_values("at")
+    return np.concatenate(found["part"].to_list()).reshape(width, columns)
+
+
+def components(
+    df: DataFrame, k: int = 3, vector: str = "vector", seed: int = 0, tolerance: float = TOLERANCE
+) -> Components:
+    """The ``k`` leading principal directions by a randomised range finder, the same for every width.
+
+    A random block of ``BLOCK`` columns goes through the centred rows in one scan; from then on a scan
+    multiplies the residuals of the leading Ritz vectors, so the range grows where it is not settled.
+    It ends when every wanted residual is within ``tolerance`` of the largest variance, or after ``PASSES``
+    scans with ``settled`` false. Once the range is ``WIDEST`` blocks it begins anew from its best block.
+    The driver holds two tables of ``width x (BLOCK * WIDEST)`` numbers, none that grows with the rows; a
+    task holds one of ``width x BLOCK``. Null vectors are left out; of no rows all is zero.
+    """
+    rows = df.select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    facts = rows.select(F.size("v").alias("width"), F.spark_partition_id().alias("task")).agg(
+        F.max("width").alias("width"), F.count("width").alias("n"), F.max("task").alias("last")
+    ).first()
+    width, n, members = facts["width"] or 0, facts["n"], (facts["last"] or 0) + 1
     k = min(k, width)
-    if width <= COVARIANCE_WIDTH:
-        model = PCA(k=k, inputCol="f", outputCol="p").fit(
-            rows.select(array_to_vector("v").alias("f"))
-        )
-        basis = model.pc.toArray().T
-    else:
-        basis = _power_components(rows, mean, k)
+    if not k:
+        return Components(np.zeros(width), np.zeros((0, width)), np.zeros(0), True)
+    mean = _scan_sums(rows, width, 1, members, lambda x: x.sum(0)[:, None])[:, 0] / n
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, min(BLOCK, width))))[0]
+    held, images = np.zeros((width, 0)), np.zeros((width, 0))
+    settled = False
+    for _ in range(PASSES):
+        def product(x: np.ndarray, b: np.ndarray = block) -> np.ndarray:
+            x = x - mean
+            return x.T @ (x @ b)
+
+        image = _scan_sums(rows, width, block.shape[1], members, product) / max(1, n - 1)
+        held, images = np.hstack([held, block]), np.hstack([images, image])
+        inner = held.T @ images
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        best = min(BLOCK, len(values))
+        ritz, moved = held @ turn[:, :best], images @ turn[:, :best]
+        rest = moved - ritz * values[:best]
+        settled = bool((np.linalg.norm(rest[:, :k], axis=0) <= tolerance * max(values[0], 0.0)).all())
+        if settled or held.shape[1] >= width:
+            settled = True
+            break
+        if held.shape[1] >= BLOCK * WIDEST:
+            held, images = ritz, moved
+        block = _new_directions(rest, held)
+        if not block.shape[1]:
+            settled = True
+            break
+    basis = ritz[:, :k].T
     peak = np.abs(basis).argmax(1)
-    signs = np.sign(basis[np.arange(len(basis)), peak])
-    return mean, basis * np.where(signs == 0, 1.0, signs)[:, None]
+    signs = np.sign(basis[np.arange(k), peak])
+    basis = basis * np.where(signs == 0, 1.0, signs)[:, None]
+    return Components(mean, basis, np.maximum(values[:k], 0.0), settled)
 
 
-def _power_components(rows: DataFrame, mean: np.ndarray, k: int) -> np.ndarray:
-    """Block power iteration: each pass is one scan returning ``width x k`` sums per batch."""
-    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((len(mean), k)))[0]
-    for _ in range(POWER_ITERATIONS):
-        current = basis
+def _new_directions(block: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of what ``block`` adds to ``held``, at most what fits the width."""
+    length = np.linalg.norm(block, axis=0)
+    long = length > 1e-13 * max(length.max(), 1e-300)
+    block = block[:, long] / length[long]
+    for _ in range(2):
+        block = block - held @ (held.T @ block)
+    left, size, _ = np.linalg.svd(block, full_matrices=False)
+    fresh = left[:, size > 1e-10][:, : held.shape[0] - held.shape[1]]
+    return np.linalg.qr(fresh - held @ (held.T @ fresh))[0] if fresh.shape[1] else fresh
 
-        def partial(batches: Iterator[pd.DataFrame], b: np.ndarray = current) -> Iterator[pd.DataFrame]:
-            total = np.zeros_like(b)
-            for pdf in batches:
-                if not pdf.empty:
-                    x = np.stack(pdf["v"].to_numpy()).astype(float) - mean
-                    total += x.T @ (x @ b)
-            yield pd.DataFrame({"s": [total.ravel()]})
 
-        sums = rows.mapInPandas(partial, "s array<double>").select(
-            F.posexplode("s").alias("idx", "val")
-        ).groupBy("idx").agg(F.sum("val").alias("val")).toPandas().sort_values("idx")
-        basis = np.linalg.qr(sums["val"].to_numpy().reshape(len(mean), k))[0]
-    return basis.T
+def principal_components(
+    df: DataFrame, k: int = 3, vector: str = "vector"
+) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and ``k`` orthonormal directions, each with its largest loading positive."""
+    found = components(df, k, vector)
+    return found.mean, found.basis
+
+
+def explained_variance(df: DataFrame, k: int = 3, vector: str = "vector") -> DataFrame:
+    """``(component, variance, share)``: variance along each direction, and its part of all variance."""
+    spark = df.sparkSession
+    found = components(df, k, vector)
+    rows = [(i, float(v)) for i, v in enumerate(found.variances)]
+    mean = F.array(*map(F.lit, found.mean.tolist()))
+    away = F.zip_with(F.col(vector).cast("array<double>"), mean, lambda x, m: (x - m) * (x - m))
+    n = F.greatest(F.count(vector) - 1, F.lit(1))
+    total = df.agg((F.sum(array_sum(away)) / n).alias("total")).scalar()
+    return spark.createDataFrame(rows, "component int, variance double").withColumn(
+        "share", F.when(total > 0, F.col("variance") / total).otherwise(0.0)
+    )
 
 
 def project(df: DataFrame, mean: np.ndarray, basis: np.ndarray, keys: list[str]) -> DataFrame:
@@ -141,6 +221,6 @@ def positions_by_round(df: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "direction_table", "pca_positions", "positions_by_round", "principal_components", "project",
+    "components", "direction_table", "explained_variance", "pca_positions", "positions_by_round", "principal_components", "project",
     "random_projection", "scale_to_box", "with_kind",
 ]

@@ -207,13 +207,6 @@ def test_pca_matches_numpy(planted):
     assert np.abs(np.sum(basis[:2] * vt[:2], axis=1)) == pytest.approx([1, 1], abs=1e-6)
 
 
-def test_wide_vectors_use_power_iteration(planted, monkeypatch):
-    exact = projection.principal_components(planted)[1]
-    monkeypatch.setattr(projection, "COVARIANCE_WIDTH", 4)
-    rough = projection.principal_components(planted)[1]
-    assert np.abs(np.linalg.svd(exact[:2] @ rough[:2].T)[1]) == pytest.approx([1, 1], abs=1e-3)
-
-
 @pytest.fixture(scope="module")
 def training(spark):
     rng = np.random.default_rng(11)
