@@ -465,11 +465,6 @@ def _rounds(spark, sf):
     return rounded(history, "loss", "accuracy", "silhouette")
 
 
-@query("t5_pca_positions")
-def _pca(spark, sf):
-    return rounded(projection.pca_positions(fleet(spark, sf), ["entity", "cluster"]), "x", "y", "z")
-
-
 SQUARINGS = 14
 
 
@@ -485,17 +480,41 @@ p{c}_{i + 1} AS MATERIALIZED (
 p{c}_0 AS MATERIALIZED (SELECT a, b, v / (SELECT sum(v) FROM c{c} WHERE a = b) AS v FROM c{c}),{squares}
 e{c} AS MATERIALIZED (
   SELECT sum(c.v * p.v) AS variance FROM c{c} c JOIN {last} p ON p.a = c.b AND p.b = c.a),
+d{c} AS MATERIALIZED (
+  SELECT a AS idx, p.v / sqrt(peak.v) AS v FROM {last} p
+  JOIN (SELECT b, v FROM {last} WHERE a = b ORDER BY v DESC, b LIMIT 1) peak USING (b)),
 c{c + 1} AS MATERIALIZED (
   SELECT c.a, c.b, c.v - e.variance * p.v AS v FROM c{c} c JOIN {last} p USING (a, b), e{c} e)"""
 
 
-@query("t5_explained_variance", f"""WITH {LONG},
-means AS (SELECT idx, avg(val) AS m FROM long GROUP BY idx),
-away AS MATERIALIZED (SELECT entity, idx, val - m AS val FROM long JOIN means USING (idx)),
+def _components_sql(elements: str) -> str:
+    """SQL of three components of ``elements (row, idx, val)``: ``c0``, variances ``e``, directions ``d``."""
+    return f"""
+centre AS (SELECT idx, avg(val) AS m FROM {elements} GROUP BY idx),
+away AS MATERIALIZED (SELECT row, idx, val - m AS val FROM {elements} JOIN centre USING (idx)),
 c0 AS MATERIALIZED (
-  SELECT x.idx AS a, y.idx AS b, sum(x.val * y.val) / ((SELECT count(*) FROM fleet) - 1) AS v
-  FROM away x JOIN away y USING (entity) GROUP BY ALL),
-{','.join(_leading_sql(c) for c in range(3))},
+  SELECT x.idx AS a, y.idx AS b, sum(x.val * y.val) / ((SELECT count(DISTINCT row) FROM {elements}) - 1) AS v
+  FROM away x JOIN away y USING (row) GROUP BY ALL),
+{','.join(_leading_sql(c) for c in range(3))}"""
+
+
+PLACED_SQL = """
+raw AS (
+  SELECT row, sum(val * d0.v) AS x, sum(val * d1.v) AS y, sum(val * d2.v) AS z
+  FROM away JOIN d0 USING (idx) JOIN d1 USING (idx) JOIN d2 USING (idx) GROUP BY row),
+box AS (SELECT 5 / greatest(max(greatest(abs(x), abs(y), abs(z))), 1) AS f FROM raw),
+placed AS (SELECT row, round(x * f, 6) AS x, round(y * f, 6) AS y, round(z * f, 6) AS z FROM raw, box)"""
+FLEET_COMPONENTS = f"""{LONG}, elements AS (SELECT entity AS row, idx, val FROM long),
+{_components_sql('elements')}"""
+
+
+@query("t5_pca_positions", f"""WITH {FLEET_COMPONENTS}, {PLACED_SQL}
+SELECT entity, cluster, x, y, z FROM fleet JOIN placed ON row = entity""")
+def _pca(spark, sf):
+    return rounded(projection.pca_positions(fleet(spark, sf), ["entity", "cluster"]), "x", "y", "z")
+
+
+@query("t5_explained_variance", f"""WITH {FLEET_COMPONENTS},
 total AS (SELECT sum(v) AS total FROM c0 WHERE a = b),
 every AS ({' UNION ALL '.join(f'SELECT {c}::INT AS component, variance FROM e{c}' for c in range(3))})
 SELECT component, round(variance, 6) AS variance, round(variance / total, 6) AS share FROM every, total""")
@@ -551,8 +570,30 @@ def _union(spark, sf):
     return _kinds(spark, sf).select("kind", "entity", F.round(A.array_sum(F.col("vector")), 6).alias("total"))
 
 
-@query("t8_positions_by_round")
+ROUND_COUNT = 10
+
+
+@query("t8_positions_by_round", f"""WITH {LONG}, states AS (
+  SELECT entity % {ROUND_COUNT} AS round, entity // {ROUND_COUNT} AS entity, cluster, idx, val FROM long),
+kinds AS (
+  SELECT round, 'client' AS kind, entity::VARCHAR AS entity, idx, val FROM states
+  UNION ALL SELECT round, 'cluster', 'cluster-' || cluster, idx, avg(val) FROM states GROUP BY ALL
+  UNION ALL SELECT round, 'global', 'global', idx, avg(val) FROM states GROUP BY ALL),
+elements AS MATERIALIZED (SELECT {{'r': round, 'k': kind, 'e': entity}} AS row, idx, val FROM kinds),
+{_components_sql('elements')}, {PLACED_SQL}
+SELECT row.r AS round, row.k AS kind, row.e AS entity, x, y, z FROM placed""")
 def _positions(spark, sf):
-    placed = projection.pca_positions(cut_lineage(_kinds(spark, sf)), ["kind", "entity"])
-    out = projection.positions_by_round(placed.withColumn("round", F.lit(0)))
-    return rounded(out, "x", "y", "z")
+    """Entities, clusters and the whole in every round, in one frame for all rounds."""
+    rows = fleet(spark, sf).select(
+        (F.col("entity") % ROUND_COUNT).alias("round"),
+        F.floor(F.col("entity") / ROUND_COUNT).alias("entity"), "cluster", "vector",
+    )
+    clusters = agg.to_vectors(
+        agg.vector_aggregate(rows, ["round", "cluster"], "simple", weight=None), ["round", "cluster"]
+    ).withColumn("entity", F.concat(F.lit("cluster-"), F.col("cluster")))
+    overall = agg.to_vectors(
+        agg.vector_aggregate(rows, ["round"], "simple", weight=None), ["round"]
+    ).withColumn("entity", F.lit("global"))
+    states = projection.with_kind("round", client=rows, cluster=clusters, **{"global": overall})
+    placed = projection.pca_positions(cut_lineage(states), ["round", "kind", "entity"])
+    return rounded(projection.positions_by_round(placed), "x", "y", "z")

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from regatta.functions.arrays import array_sum
 from regatta.functions.hashing import hash_uniform
-from regatta.operators.aggregate import sum_arrays, to_long
-from regatta.operators.common import spread_join
+from regatta.operators.aggregate import sum_arrays
 
 # Fixed value: half width of the box positions are scaled into.
 BOX = 5.0
@@ -28,10 +27,10 @@ TOLERANCE = 1e-7
 SLICE = 16384
 
 
-def with_kind(**tables: DataFrame) -> DataFrame:
-    """Bag union of ``(entity, vector)`` tables with a ``kind`` tag."""
+def with_kind(*keys: str, **tables: DataFrame) -> DataFrame:
+    """Bag union of ``(keys..., entity, vector)`` tables with a ``kind`` tag."""
     parts = [
-        df.select(F.lit(kind).alias("kind"), F.col("entity").cast("string").alias("entity"), "vector")
+        df.select(*keys, F.lit(kind).alias("kind"), F.col("entity").cast("string").alias("entity"), "vector")
         for kind, df in tables.items()
     ]
     out = parts[0]
@@ -202,11 +201,20 @@ def direction_table(spark, dim: int, seed: int | str) -> DataFrame:
 
 
 def random_projection(df: DataFrame, dim: int, seed: int | str, keys: list[str]) -> DataFrame:
-    """``(keys..., x, y, z)``: products with three seeded unit directions."""
-    directions = direction_table(df.sparkSession, dim, seed)
-    joined = spread_join(to_long(df, keys), directions, ["idx"], keys)
-    return joined.groupBy(*keys).agg(
-        *[F.sum(F.col("val") * F.col(f"d{a}")).alias(a) for a in "xyz"]
+    """``(keys..., x, y, z)``: products with three seeded unit directions.
+
+    The directions are as long as a vector and go with the plan as one scalar; no row is exploded or moved.
+    A null vector has null positions.
+    """
+    table = direction_table(df.sparkSession, dim, seed)
+    packed = F.array_sort(F.collect_list(F.struct("idx", "dx", "dy", "dz")))
+    axes = table.agg(packed.alias("all")).select(
+        F.struct(*[F.col("all")[f"d{a}"].alias(a) for a in "xyz"]).alias("axes")
+    ).scalar()
+    return df.select(*keys, F.col("vector").cast("array<double>").alias("_v"), axes.alias("_axes")).select(
+        *keys, *[
+            array_sum(F.zip_with("_v", F.col("_axes")[a], lambda x, d: x * d)).alias(a) for a in "xyz"
+        ]
     )
 
 
