@@ -20,44 +20,46 @@ from regatta.sources import experiments as X
 from regatta.sources import idx as I
 from regatta.streaming import metrics as M
 from regatta.streaming import state as S
-from regatta.streaming.sinks import new_folder, run_and_follow, run_partials, run_to_table
+from regatta.streaming.sinks import new_folder, run_and_follow, run_partials, run_to_end, run_to_table
 
 
 def _day(col: str):
     return F.datediff(F.to_date(col), F.lit(FIRST_DAY))
 
 
-CLOSED = "round < (SELECT max(round) FROM log)"
-
-
 @query("st1_live_round_metrics", f"""WITH {LOG}
 SELECT round, experiment, round(avg(loss), 8) AS mean, round(stddev_pop(loss), 8) AS std, count(*) AS n
-FROM log WHERE {CLOSED} GROUP BY round, experiment""")
+FROM log GROUP BY round, experiment""")
 def _live(spark, sf):
-    table = run_to_table(M.round_metrics(M.event_stream(spark, sf)))
+    table = run_to_end(M.event_stream(spark, sf), M.round_metrics)
     out = table.select(_day("start").alias("round"), "experiment", "mean", "std", "n")
     return rounded(out, "mean", "std", digits=8)
 
 
 def _windows(spark, sf):
-    return run_and_follow(M.entity_windows(M.event_stream(spark, sf)))
+    return run_and_follow(M.event_stream(spark, sf), M.entity_windows)
+
+
+# Entity rounds in stretches without a silence of more than 30 days.
+STRETCHES = f"""{ENTITY_ROUNDS}, gaps AS (
+  SELECT *, coalesce(round - lag(round) OVER (PARTITION BY entity ORDER BY round) > 30, false)::INT AS gap FROM er),
+r AS (SELECT *, sum(gap) OVER (PARTITION BY entity ORDER BY round) AS stretch FROM gaps)"""
 
 
-@query("st2_keyed_last_three", f"""WITH {ENTITY_ROUNDS}, r AS (SELECT * FROM er WHERE {CLOSED})
+@query("st2_keyed_last_three", f"""WITH {STRETCHES}
 SELECT entity, round, round(norm, 6) AS newest, round(lag(norm, 1) OVER w, 6) AS second,
        round(lag(norm, 2) OVER w, 6) AS third, least(3, row_number() OVER w)::INT AS kept
-FROM r WINDOW w AS (PARTITION BY entity ORDER BY round)""")
+FROM r WINDOW w AS (PARTITION BY entity, stretch ORDER BY round)""")
 def _last_three(spark, sf):
     table = run_to_table(S.recent_values(_windows(spark, sf)))
     out = table.select("entity", _day("at").alias("round"), "newest", "second", "third", "kept")
     return rounded(out, "newest", "second", "third")
 
 
-@query("st3_increase_alerts", f"""WITH {ENTITY_ROUNDS}, r AS (
-  SELECT entity, round, norm, lag(norm) OVER (PARTITION BY entity ORDER BY round) AS previous
-  FROM er WHERE {CLOSED})
+@query("st3_increase_alerts", f"""WITH {STRETCHES}, pairs AS (
+  SELECT entity, round, norm, lag(norm) OVER (PARTITION BY entity, stretch ORDER BY round) AS previous FROM r)
 SELECT entity, round, round(previous, 6) AS previous, round(norm, 6) AS current
-FROM r WHERE norm >= previous * 1.2""")
+FROM pairs WHERE norm >= previous * 1.2""")
 def _alerts(spark, sf):
     table = run_to_table(S.increase_alerts(_windows(spark, sf)))
     out = table.select("entity", _day("at").alias("round"), "previous", "current")
@@ -65,11 +67,14 @@ def _alerts(spark, sf):
 
 
 @query("st4_quorum_per_window", f"""WITH {LOG}
-SELECT round, count(DISTINCT entity) AS entities FROM log
-WHERE round < (SELECT max(round) FROM log) GROUP BY round HAVING count(DISTINCT entity) >= 130""")
+SELECT round, count(DISTINCT entity) AS entities, count(*) AS rows, 0::BIGINT AS late
+FROM log GROUP BY round HAVING count(DISTINCT entity) >= 130""")
 def _quorum(spark, sf):
-    table = run_to_table(M.quorum(M.event_stream(spark, sf), 130))
-    return table.select(_day("start").alias("round"), "entities")
+    """The whole log comes in one batch, before any watermark, so SQL can say that no row is late."""
+    stream = M.event_stream(spark, sf)
+    table = run_to_end(stream, lambda rows: M.quorum(rows, 130))
+    out = M.late_rows(table, run_partials(stream, M.window_rows))
+    return out.select(_day("start").alias("round"), "entities", "rows", "late")
 
 
 @query("st5_exactly_once_actions", f"WITH {LOG} SELECT DISTINCT entity, round FROM log")

@@ -37,9 +37,10 @@ def round_metrics(stream: DataFrame, late: str = "10 minutes", width: str = "1 d
 def quorum(
     stream: DataFrame, least: int, late: str = "10 minutes", width: str = "1 day"
 ) -> DataFrame:
-    """Windows in which at least ``least`` distinct entities were seen before the watermark passed.
+    """``(start, entities, rows)`` of windows with at least ``least`` entities before the watermark passed.
 
     Two chained windowed counts give the exact distinct number, which a stream cannot count at once.
+    ``rows`` are those that were counted; ``late_rows`` tells how many came after.
     """
     per_entity = (
         stream.withWatermark("ts", late).groupBy(F.window("ts", width), "user_id")
@@ -47,12 +48,28 @@ def quorum(
     )
     return (
         per_entity.groupBy(F.window(F.window_time("window"), width))
-        .agg(F.count(F.lit(1)).alias("entities"))
+        .agg(F.count(F.lit(1)).alias("entities"), F.sum("n").alias("rows"))
         .filter(F.col("entities") >= least)
-        .select(F.col("window.start").alias("start"), "entities")
+        .select(F.col("window.start").alias("start"), "entities", "rows")
     )
 
 
+def window_rows(batch: DataFrame, width: str = "1 day") -> DataFrame:
+    """``(start, seen)`` of a batch: all its rows per window, late or not. For ``run_partials``."""
+    return batch.groupBy(F.window("ts", width).alias("window")).agg(F.count(F.lit(1)).alias("seen")).select(
+        F.col("window.start").alias("start"), "seen"
+    )
+
+
+def late_rows(counted: DataFrame, partials: DataFrame) -> DataFrame:
+    """``counted (start, ..., rows)`` with ``late``: rows of the window that the watermark left out.
+
+    What all batches brought less what the closed window counted, so it is exact whatever the watermark did.
+    """
+    seen = partials.groupBy("start").agg(F.sum("seen").alias("_seen"))
+    return counted.join(seen, "start").withColumn("late", F.col("_seen") - F.col("rows")).drop("_seen")
+
+
 def once_per_round(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """First event of every ``(entity, round)``; copies within the watermark delay are dropped."""
     keyed = stream.withColumn("round", F.to_date("ts"))

@@ -6,9 +6,13 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from regatta.operators.common import checkpoint_folder
 
+# Time of the row that ends a log: after any event.
+ENDED = "2200-01-01 00:00:00"
+
 
 def new_folder(df: DataFrame, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
@@ -30,6 +34,27 @@ def run_to_table(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def run_to_end(
+    stream: DataFrame, build: Callable[[DataFrame], DataFrame], time: str = "ts", folder: str | None = None
+) -> DataFrame:
+    """As ``run_to_table(build(stream))`` for a log that has ended: its open windows are closed as well.
+
+    A stream closes a window only when later rows push the watermark past it, so the last ones of a
+    finished log would wait for ever. After all input is read, one row at ``ENDED`` with nothing but a time
+    comes in by a second folder; the window of that row itself is never closed. Rows that come later are late.
+    """
+    folder = folder or new_folder(stream, "stream")
+    spark, marks = stream.sparkSession, f"{folder}/end"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(marks)
+    ended = stream.unionByName(spark.readStream.schema(stream.schema).parquet(marks))
+    run_to_table(build(ended), folder)
+    last = spark.range(1).select(*[
+        F.lit(ENDED if f.name == time else None).cast(f.dataType).alias(f.name) for f in stream.schema.fields
+    ])
+    last.write.mode("append").parquet(marks)
+    return run_to_table(build(ended), folder)
+
+
 def run_partials(
     stream: DataFrame, summarise: Callable[[DataFrame], DataFrame], folder: str | None = None
 ) -> DataFrame:
@@ -52,11 +77,14 @@ def run_partials(
     return stream.sparkSession.read.parquet(f"{folder}/rows")
 
 
-def run_and_follow(stream: DataFrame) -> DataFrame:
+def run_and_follow(
+    stream: DataFrame, build: Callable[[DataFrame], DataFrame] | None = None, time: str = "ts"
+) -> DataFrame:
     """Run a stream into a table and return that table as the next stream.
 
-    For state that must come after an aggregate, which one query cannot chain.
+    For state that must come after an aggregate, which one query cannot chain. With ``build`` the log
+    has ended, as in ``run_to_end``.
     """
     folder = new_folder(stream, "stage")
-    run_to_table(stream, folder)
-    return stream.sparkSession.readStream.schema(stream.schema).parquet(f"{folder}/rows")
+    done = run_to_end(stream, build, time, folder) if build else run_to_table(stream, folder)
+    return stream.sparkSession.readStream.schema(done.schema).parquet(f"{folder}/rows")

@@ -13,7 +13,7 @@ from regatta.sources import experiments as X
 from regatta.sources import idx as I
 from regatta.streaming import metrics as M
 from regatta.streaming import state as S
-from regatta.streaming.sinks import run_and_follow, run_partials, run_to_table
+from regatta.streaming.sinks import run_and_follow, run_partials, run_to_end, run_to_table
 
 
 @pytest.fixture
@@ -150,3 +150,47 @@ def test_replayed_batches_count_once(spark, event_files, tmp_path):
     got = {r.group: r.val for r in M.running_mean(table).collect()}
     want = {r.event_type: pytest.approx(r.m) for r in events.groupBy("event_type").agg(F.avg("value").alias("m")).collect()}
     assert got == want
+
+
+def write_days(spark, folder, days):
+    """One file per event, in the order given: ``(day, user, value)``."""
+    schema = "event_id long, ts string, user_id long, event_type string, value double, props string"
+    for i, (day, user, value) in enumerate(days):
+        row = (i, f"2024-{1 + (day - 1) // 28:02d}-{1 + (day - 1) % 28:02d} 12:00:00", user, "view", value, "{}")
+        spark.createDataFrame([row], schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1) \
+            .write.mode("append").parquet(folder)
+
+
+def test_end_of_log_closes_the_last_window(spark, event_files):
+    folder, events = event_files
+    stream = M.event_stream(spark, folder, "*.parquet", files_per_batch=1)
+    got = run_to_end(stream, lambda rows: M.round_metrics(rows, FOREVER))
+    batch = events.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.avg("value").alias("m"))
+    assert {(r.start.date(), r.experiment): r["mean"] for r in got.collect()} == {
+        (r.d, r.event_type): pytest.approx(r.m) for r in batch.collect()}
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Of the two rows for day 2 that come after day 25, the first meets an older watermark."""
+    folder = str(tmp_path / "late")
+    write_days(spark, folder, [(2, 1, 1.0), (20, 1, 1.0), (25, 1, 1.0), (2, 2, 1.0), (2, 3, 1.0), (28, 1, 1.0)])
+    stream = M.event_stream(spark, folder, "*.parquet", files_per_batch=1)
+    closed = run_to_end(stream, lambda rows: M.quorum(rows, 1))
+    got = M.late_rows(closed, run_partials(stream, M.window_rows)).collect()
+    assert {r.start.day: (r["rows"], r.late) for r in got} == {2: (1, 2), 20: (1, 0), 25: (1, 0), 28: (1, 0)}
+
+
+def test_silent_entities_lose_history_and_state(spark, tmp_path):
+    folder = str(tmp_path / "days")
+    # Entity 1 comes back after 45 days, entity 2 never; entity 3 is seen until the end.
+    days = [(1, 1, 1.0), (2, 2, 1.0), (2, 1, 2.0), *[(d, 3, 1.0) for d in (10, 30, 45)], (47, 1, 9.0), (50, 3, 1.0)]
+    write_days(spark, folder, days)
+    windows = run_and_follow(M.event_stream(spark, folder, "*.parquet"), M.entity_windows)
+    rows = run_to_table(S.recent_values(windows)).filter("entity = 1").orderBy("at").collect()
+    assert [(r.newest, r.second, r.kept) for r in rows] == [(1.0, None, 1), (2.0, 1.0, 2), (9.0, None, 1)]
+    assert [r.current for r in run_to_table(S.increase_alerts(windows)).filter("entity = 1").collect()] == [2.0]
+    query = S.recent_values(windows).writeStream.format("noop").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    left = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert left == 2  # entity 2 is gone
