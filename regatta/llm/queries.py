@@ -56,10 +56,16 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture from the index; ids divisible by 20 are also looked up, ``looked_up`` if found and sound."""
     pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
-    _, index = warc_index.archive_pages(pages)
-    return warc_index.read_index(spark, index).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key"
+    archives, index = warc_index.archive_pages(pages)
+    asked = pages.where(F.col("page_id") % 20 == 0).select("page_id", "url")
+    answers = warc_index.look_up(spark, archives, index, warc_index.directory_of(index), asked)
+    found = answers.groupBy("page_id").agg(F.every("sound").alias("_sound"))
+    rows = warc_index.read_index(spark, index).join(found, "page_id", "left")
+    return rows.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key",
+        F.coalesce("_sound", F.lit(False)).alias("looked_up"),
     )
 
 
@@ -167,4 +173,36 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 FROM ranked JOIN coded USING (row), books
 """
 
-ORACLES: dict[str, str] = {"op11_vector_codes": OP11_SQL}
+# The bits of a SHA-1, five to a letter; hosts in reverse without "www.", then path and sorted query.
+OP6_SQL = """
+WITH rows AS (
+    SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS payload FROM pages
+),
+digests AS (
+    SELECT payload, array_to_string([
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+            (('0x' || sha1(payload)[5 * (i // 4) + 1 : 5 * (i // 4) + 5])::BIGINT >> (15 - 5 * (i % 4))) % 32 + 1
+        ] FOR i IN range(32)], '') AS digest, min(page_id) AS first
+    FROM rows GROUP BY payload
+),
+parts AS (
+    SELECT page_id, payload,
+           regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www[.]', '') AS host,
+           regexp_extract(url, '^[A-Za-z]+://[^/?#:]*:([0-9]+)', 1) AS port,
+           lower(rtrim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/')) AS path,
+           lower(regexp_extract(url, '[?]([^#]*)', 1)) AS query
+    FROM rows
+)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to,
+       array_to_string(list_reverse(string_split(host, '.')), ',')
+       || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || ')'
+       || CASE WHEN path = '' THEN '/' ELSE path END
+       || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END
+       AS url_key,
+       page_id % 20 = 0 AS looked_up
+FROM parts JOIN digests USING (payload)
+"""
+
+ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op11_vector_codes": OP11_SQL}

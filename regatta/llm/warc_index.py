@@ -4,10 +4,11 @@ Writing is a Spark job: one record per page as text, the record's header built b
 by Spark's own committer. A payload that another page of a smaller id has already is a ``revisit``
 record without content. Reading takes whole files of bounded size and follows ``Content-Length``.
 
-The index sorts its lines by reversed-host URL key, cuts them into blocks of ``BLOCK_LINES`` that are
-compressed one by one, and keeps a sparse directory of each block's first key. A look-up searches
-the directory by halves, opens the one block (or the few) that can hold the key, searches there, and
-reads the record's range of its archive.
+The index sorts its lines by reversed-host URL key and id, cuts them into blocks of ``BLOCK_LINES`` that
+are compressed one by one, and keeps a sparse directory, a table of each block's first and last place. Many
+look-ups are a Spark job (``look_up``): a place goes to the part of the index that can hold it, is searched
+by halves in that part's directory, then in the block, and the record's range of its archive is checked.
+``CaptureIndex`` answers a single look-up the same way.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from regatta.operators.common import checkpoint_folder, cut_lineage
@@ -33,12 +35,17 @@ VERSION, EOL = "WARC/1.1", "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CAPTURE_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-# Records of an archive file, and lines of an index block, at most.
-FILE_RECORDS, BLOCK_LINES = 4000, 3000
+# Records of an archive file by the longest payload in bytes, so that a file stays near 0.5 GB at most;
+# payloads above the last bound have a file each.
+FILE_RECORDS = ((1 << 17, 4000), (1 << 22, 128))
+# Lines of an index block, and the place of a line without an id.
+BLOCK_LINES = 3000
+NO_ID = -(1 << 63)
 
 ENTRY = ("url_key string, page_id long, url string, record_type string, payload_bytes long, "
          "payload_digest string, refers_to long, file string, offset long, length long")
-BLOCK = "first_key string, last_key string, lines int, block binary"
+PLACES = "first_key string, first_id long, last_key string, last_id long"
+BLOCK = f"part int, block_no int, {PLACES}, lines int, block binary"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -84,12 +91,10 @@ def _record(rows: DataFrame) -> Column:
     url = F.col("url")
     for char, code in (("%", "%25"), ("\r", "%0D"), ("\n", "%0A")):
         url = F.replace(url, F.lit(char), F.lit(code))
-    name = F.md5(F.concat_ws(" ", F.col("page_id").cast("string"), F.col("digest"), F.col("url")))
-    parts = [F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(
         F.lit(VERSION + EOL),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))),
         line("WARC-Date", F.lit(CAPTURE_DATE)),
         line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
@@ -103,12 +108,29 @@ def _record(rows: DataFrame) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, folder: str, file_records: int = FILE_RECORDS) -> None:
-    """WARC files in the folder, each of at most so many records; safe under task retries."""
+def write_archives(
+    pages: DataFrame, folder: str, file_records: tuple[tuple[int, int], ...] = FILE_RECORDS
+) -> None:
+    """WARC files in the folder, bounded in records and bytes; safe under task retries.
+
+    Payloads up to a bound of ``file_records`` share files of so many records; longer ones than all bounds
+    have one each. The first pass counts the longer ones, so classes that no page is in cost nothing.
+    """
     rows = with_first_captures(pages)
-    rows.select(_record(rows).alias("value")).write.option("lineSep", EOL).option(
-        "maxRecordsPerFile", file_records
-    ).text(folder)
+    size = F.octet_length("payload")
+    bounds = [-1, *(b for b, _ in file_records)]
+    seen = Observation()
+    counts = [F.count(F.when(size > b, 1)).alias(f"above{n}") for n, b in enumerate(bounds)]
+    for n, records in enumerate([*(r for _, r in file_records), 1]):
+        if n and not seen.get[f"above{n}"]:
+            break
+        held = rows if n else rows.observe(seen, *counts)
+        held = held.where(size > bounds[n])
+        if n + 1 < len(bounds):
+            held = held.where(size <= bounds[n + 1])
+        held.select(_record(held).alias("value")).write.mode("append").option("lineSep", EOL).option(
+            "maxRecordsPerFile", records
+        ).text(folder)
 
 
 def url_key(url: str | None) -> str:
@@ -188,14 +210,21 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(_entries, ENTRY)
 
 
+def _place(line: dict) -> tuple[str, int]:
+    return line["url_key"], NO_ID if line["page_id"] is None else int(line["page_id"])
+
+
 def _blocks(block_lines: int):
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[dict] = []
+        part, number = TaskContext.get().partitionId(), 0
 
         def packed() -> pd.DataFrame:
             text = "\n".join(json.dumps(x, separators=(",", ":")) for x in held)
+            first, last = _place(held[0]), _place(held[-1])
             done = pd.DataFrame({
-                "first_key": [held[0]["url_key"]], "last_key": [held[-1]["url_key"]],
+                "part": [part], "block_no": [number], "first_key": [first[0]], "first_id": [first[1]],
+                "last_key": [last[0]], "last_id": [last[1]],
                 "lines": [len(held)], "block": [zlib.compress(text.encode())],
             })
             held.clear()
@@ -206,6 +235,7 @@ def _blocks(block_lines: int):
                 held.append(row)
                 if len(held) == block_lines:
                     yield packed()
+                    number += 1
         if held:
             yield packed()
 
@@ -213,7 +243,7 @@ def _blocks(block_lines: int):
 
 
 def write_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> None:
-    """Compressed blocks of key-sorted lines, ``(first_key, last_key, lines, block)`` each.
+    """Compressed blocks of sorted lines, numbered within their part, with their first and last place.
 
     Sorting is by ranges of (key, id, place), so one URL with many captures fills many blocks.
     """
@@ -225,6 +255,106 @@ def write_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
     )
 
 
+def write_directory(spark: SparkSession, index: str, folder: str) -> None:
+    """The sparse directory: one row a block, without the blocks themselves."""
+    names = ["part", "block_no", *(c.split()[0] for c in PLACES.split(", "))]
+    spark.read.schema(BLOCK).parquet(index).select(*names).write.parquet(folder)
+
+
+def _places(frame: pd.DataFrame, key: str, number: str) -> list[tuple[str, int]]:
+    return list(zip(frame[key], frame[number].astype("int64")))
+
+
+def _holding(
+    wanted: list[tuple[str, int]], first: list[tuple[str, int]], last: list[tuple[str, int]]
+) -> Iterator[tuple[int, int]]:
+    """``(wanted, holder)`` of sorted stretches that may hold a place, by binary search in both ends."""
+    for n, place in enumerate(wanted):
+        for at in range(bisect.bisect_left(last, place), bisect.bisect_right(first, place)):
+            yield n, at
+
+
+def look_up(spark: SparkSession, archives: str, index: str, directory: str, wanted: DataFrame) -> DataFrame:
+    """``(page_id, url_key, record_type, payload_digest, sound)`` of the captures ``wanted (page_id, url)``.
+
+    The driver holds the first and last place of each part of the index, of which there are as many as
+    shuffle partitions. Places are searched in the directory of their part, then in their blocks, each in a
+    task that holds one part's directory or one block. ``sound`` says that the record in the range of the
+    archive names that id and digest and, of a response, that the payload has the digest. Repeated captures
+    give a row each; ids that are not there give none, null ids are captures without an id.
+    """
+    table = spark.read.parquet(directory)
+    ends = table.groupBy("part").agg(
+        F.min(F.struct("first_key", "first_id")).alias("first"), F.max(F.struct("last_key", "last_id")).alias("last")
+    ).collect()
+    ends.sort(key=lambda r: tuple(r["first"]))
+    parts = [r["part"] for r in ends]
+    first, last = [tuple(r["first"]) for r in ends], [tuple(r["last"]) for r in ends]
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            places = list(zip(map(url_key, batch["url"].where(batch["url"].notna(), None)), batch["id"]))
+            rows = [(parts[at], *places[n]) for n, at in _holding(places, first, last)]
+            yield pd.DataFrame(rows, columns=["part", "url_key", "id"])
+
+    def in_directory(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("block_no")
+        hits = list(_holding(_places(asked, "url_key", "id"), _places(held, "first_key", "first_id"),
+                             _places(held, "last_key", "last_id")))
+        out = asked.iloc[[n for n, _ in hits]].copy()
+        out["block_no"] = held["block_no"].to_numpy()[[at for _, at in hits]] if hits else []
+        return out[["part", "block_no", "url_key", "id"]]
+
+    def in_block(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found: list[dict] = []
+        if len(asked):
+            for block in held["block"]:
+                lines = block_lines_of(bytes(block))
+                at = [_place(x) for x in lines]
+                found += [lines[k] for _, k in _holding(_places(asked, "url_key", "id"), at, at)]
+        names = [c.split()[0] for c in ENTRY.split(", ")]
+        return pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+    asked = wanted.select(
+        F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("id"), "url"
+    ).distinct().mapInPandas(route, "part int, url_key string, id long")
+    placed = asked.groupBy("part").cogroup(table.groupBy("part")).applyInPandas(
+        in_directory, "part int, block_no int, url_key string, id long"
+    )
+    blocks = spark.read.schema(BLOCK).parquet(index).select("part", "block_no", "block")
+    near = blocks.join(placed.select("part", "block_no").distinct(), ["part", "block_no"], "left_semi")
+    lines = placed.groupBy("part", "block_no").cogroup(near.groupBy("part", "block_no")).applyInPandas(
+        in_block, ENTRY
+    )
+    lines = cut_lineage(lines.select(
+        F.col("file").alias("path"), "offset", "length", "page_id", "url_key", "record_type", "payload_digest"
+    ))
+    files = spark.read.format("binaryFile").load(archives).select("path", "content")
+    ranges = files.join(lines, "path").withColumn(
+        "record", F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int"))
+    ).drop("content", "path", "offset", "length")
+    return ranges.mapInPandas(
+        _sound, "page_id long, url_key string, record_type string, payload_digest string, sound boolean"
+    )
+
+
+def _sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        verdicts = []
+        for data, number, kind, digest in zip(
+            batch["record"], batch["page_id"], batch["record_type"], batch["payload_digest"]
+        ):
+            r = next(parse_records(bytes(data)))
+            own = base64.b32encode(hashlib.sha1(r.payload).digest()).decode()
+            named = r.headers.get("X-Page-Id") == (None if pd.isna(number) else str(int(number)))
+            verdicts.append(
+                named and r.headers["WARC-Payload-Digest"] == f"sha1:{digest}"
+                and r.headers["WARC-Type"] == kind and (kind != "response" or own == digest)
+            )
+        out = batch.drop(columns="record").assign(sound=verdicts)
+        yield out.astype({"page_id": "Int64", "sound": bool})
+
+
 def block_lines_of(block: bytes) -> list[dict]:
     return [json.loads(x) for x in zlib.decompress(block).decode().split("\n")]
 
@@ -246,7 +376,7 @@ class CaptureIndex:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.blocks = spark.read.schema(BLOCK).parquet(folder)
-        rows = self.blocks.select("first_key", "last_key").distinct().collect()
+        rows = self.blocks.select("first_key", "last_key").collect()
         self.directory = sorted((r["first_key"], r["last_key"]) for r in rows)
         self.spark = spark
 
@@ -288,12 +418,21 @@ class CaptureIndex:
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> tuple[str, str]:
-    """Write archives and their index below a folder; returns both places.
+    """Write archives, their index and its directory below a folder; returns the first two places.
 
     A null payload is an empty one, a null URL has no target line and the empty key, null ids stay
-    null, an empty table gives empty folders. Other columns are not read.
+    null, an empty table gives empty folders. Repeated rows are records of their own, with their own
+    record ids; of equal payloads the smallest id is the response. Very long payloads have a file each.
+    Other columns are not read.
     """
     root = folder or f"{checkpoint_folder(pages)}/warc-{uuid.uuid4().hex}"
+    spark = pages.sparkSession
     write_archives(pages, f"{root}/archives")
-    write_index(read_archives(pages.sparkSession, f"{root}/archives"), f"{root}/index")
+    write_index(read_archives(spark, f"{root}/archives"), f"{root}/index")
+    write_directory(spark, f"{root}/index", f"{root}/directory")
     return f"{root}/archives", f"{root}/index"
+
+
+def directory_of(index: str) -> str:
+    """Where ``archive_pages`` keeps the directory of an index."""
+    return f"{index.removesuffix('/index')}/directory"

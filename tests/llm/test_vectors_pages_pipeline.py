@@ -136,7 +136,7 @@ def test_a_hot_url_fills_many_blocks(spark, tmp_path):
     pages = spark.range(500).selectExpr(
         "id AS page_id", "if(id % 3 = 0, 'http://hot.example/', concat('http://h', id, '.example/')) AS url",
         "cast(id AS string) AS html")
-    warc_index.write_archives(pages, f"file://{tmp_path}/a", file_records=40)
+    warc_index.write_archives(pages, f"file://{tmp_path}/a", file_records=((1, 40), (2, 30)))
     warc_index.write_index(warc_index.read_archives(spark, f"file://{tmp_path}/a"), f"file://{tmp_path}/i", 20)
     lookup = warc_index.CaptureIndex(spark, f"file://{tmp_path}/i")
     assert sorted(x["page_id"] for x in lookup.find("http://hot.example/")) == list(range(0, 500, 3))
@@ -146,6 +146,43 @@ def test_a_hot_url_fills_many_blocks(spark, tmp_path):
     assert warc_index.read_index(spark, warc_index.archive_pages(none, f"file://{tmp_path}/e")[1]).count() == 0
 
 
+def test_many_look_ups_in_tasks(spark, tmp_path):
+    """A hot URL over many blocks and parts, repeated captures, null ids and URLs, ids that are not there."""
+    pages = spark.range(600).selectExpr(
+        "if(id = 599, null, if(id = 598, 597, id)) AS page_id",
+        "CASE WHEN id IN (5, 599) THEN null WHEN id % 3 = 0 OR id > 596 THEN 'http://hot.example/' "
+        "ELSE concat('http://h', id, '.example/') END AS url",
+        "if(id % 7 = 0, 'same', repeat(cast(id AS string), cast(id AS int) + 1)) AS html")
+    root = f"file://{tmp_path}"
+    warc_index.write_archives(pages, f"{root}/a", ((50, 40), (900, 9)))
+    warc_index.write_index(warc_index.read_archives(spark, f"{root}/a"), f"{root}/i", 20)
+    warc_index.write_directory(spark, f"{root}/i", f"{root}/d")
+    absent = spark.createDataFrame([(9999, "http://hot.example/"), (1, "http://zzz.example/")], "page_id long, url string")
+    answers = warc_index.look_up(
+        spark, f"{root}/a", f"{root}/i", f"{root}/d", pages.select("page_id", "url").unionByName(absent)).collect()
+    assert all(r["sound"] for r in answers)
+    got = sorted(-1 if r["page_id"] is None else r["page_id"] for r in answers)
+    assert got == sorted([-1, *range(598), 597])
+    ids = [r.headers["WARC-Record-ID"] for f in spark.read.format("binaryFile").load(f"{root}/a").collect()
+           for r in warc_index.parse_records(bytes(f["content"]))]
+    assert len(set(ids)) == 600
+    none = pages.limit(0)
+    archives, index = warc_index.archive_pages(none, f"{root}/e")
+    assert warc_index.look_up(spark, archives, index, warc_index.directory_of(index), pages).count() == 0
+
+
+def test_a_spoilt_record_is_not_sound(spark):
+    import pandas as pd
+
+    record = ("WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:{}\r\nX-Page-Id: 7\r\n"
+              "Content-Length: 1\r\n\r\nx\r\n\r\n")
+    digest = base64.b32encode(hashlib.sha1(b"x").digest()).decode()
+    rows = [(record.format(digest).encode(), 7, digest), (record.format(digest).encode(), 8, digest),
+            (record.format("A" * 32).encode(), 7, "A" * 32)]
+    frame = pd.DataFrame(rows, columns=["record", "page_id", "payload_digest"]).assign(record_type="response")
+    assert next(warc_index._sound(iter([frame])))["sound"].tolist() == [True, False, False]
+
+
 def test_given_pages(spark, sf_dir):
     rows = {r["page_id"]: r for r in queries.op6_warc(spark, sf_dir).collect()}
     for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
