@@ -205,4 +205,24 @@ SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, digest A
 FROM parts JOIN digests USING (payload)
 """
 
-ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op11_vector_codes": OP11_SQL}
+OP2_SQL = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS length
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)
+    WHERE len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_dot_product(v, v) > 0
+),
+links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.v, b.v) / (a.length * b.length) >= 0.95
+),
+reach AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+),
+least_of AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+       least(vec_id, coalesce(least, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least_of l ON l.a = vec_id
+"""
+
+ORACLES: dict[str, str] = {"op2_near_vectors": OP2_SQL, "op6_warc": OP6_SQL, "op11_vector_codes": OP11_SQL}
