@@ -206,10 +206,13 @@ FROM parts JOIN digests USING (payload)
 """
 
 OP2_SQL = """
-WITH RECURSIVE good AS (
-    SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS length
-    FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL)
-    WHERE len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_dot_product(v, v) > 0
+WITH RECURSIVE good AS MATERIALIZED (
+    SELECT vec_id, v, sqrt(list_sum([x * x FOR x IN v])) AS length
+    FROM (
+        SELECT vec_id, CASE WHEN len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+                            THEN embedding::DOUBLE[] END AS v
+        FROM embeddings WHERE embedding IS NOT NULL
+    ) WHERE v IS NOT NULL AND list_sum([x * x FOR x IN v]) > 0
 ),
 links AS MATERIALIZED (
     SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id

@@ -45,6 +45,23 @@ def test_links_and_components_equal_brute_force(spark, shape):
     assert all(found[i]["kept"] == (found[i]["component_id"] == i) for i in range(len(points)))
 
 
+def test_sql_states_planted_links(spark):
+    """The SQL of the query on vectors that do link, with null, zero and broken ones."""
+    import duckdb
+    import pandas as pd
+
+    points = [*planted(400, 4, 24).tolist(), None, [0.0] * 24, [float("nan")] + [1.0] * 23]
+    vectors = pd.DataFrame({"vec_id": range(len(points)), "embedding": points})
+    con = duckdb.connect()
+    con.register("raw", vectors)
+    con.execute("CREATE VIEW embeddings AS SELECT vec_id, embedding::DOUBLE[] AS embedding FROM raw")
+    want = con.execute(queries.OP2_SQL).fetchall()
+    frame = spark.createDataFrame(list(enumerate(points)), "vec_id long, embedding array<double>")
+    found = near_vectors.near_duplicate_vectors(frame).select("vec_id", "n_links", "component_id", "kept")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert sum(r[1] for r in want) > 20
+
+
 @pytest.mark.parametrize("n", [1500, 6000])
 def test_a_dense_group_over_many_shards_keeps_all_links(spark, n):
     rng = np.random.default_rng(11)
