@@ -51,3 +51,10 @@ def test_no_more_than_there_are(spark):
     assert sampling.iid_sample(wants, samples.limit(0), 1).count() == 0
     parts = sampling.skewed_sample(wants, samples, 1).groupBy("entity", "part").count().collect()
     assert {(r["entity"], r["part"]): r["count"] for r in parts} == {(1, "primary"): 5, (1, "any"): 4, (3, "any"): 4}
+
+
+def test_the_grid_is_sought_once_a_row(spark):
+    column = distinct_draws(F.lit(100_000), F.lit(30), F.lit("a"), 1)
+    plan = spark.range(1).select(column.alias("d"))
+    assert str(column).count("array_min") == 1
+    assert len(set(plan.first()["d"])) == 30
