@@ -256,3 +256,33 @@ def test_primary_shortage_is_topped_up(spark):
     wants = spark.createDataFrame([(1, 0, 40), (2, 7, 40)], "entity long, label int, n int")
     got = {(r.entity, r.part): r["count"] for r in sampling.skewed_sample(wants, samples, 5).groupBy("entity", "part").count().collect()}
     assert got == {(1, "primary"): 5, (1, "any"): 35, (2, "any"): 40}
+
+
+@pytest.mark.parametrize("metric, bound", [("l1", 6.0), ("l2", 1.2), ("cosine", 0.3)])
+def test_rows_travel_less_often_than_there_are_small_blocks(spark, monkeypatch, metric, bound):
+    monkeypatch.setattr(P, "BLOCK_ROWS", (8, 8))
+    made, small = [], P.make_blocks
+    monkeypatch.setattr(P, "make_blocks", lambda *a, **k: made.append(small(*a, **k)) or made[-1])
+    x = np.random.default_rng(8).normal(size=(400, 12))
+    if metric == "cosine":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "entity long, vector array<double>")
+    got = {(r.src, r.dst): r.d for r in P.pair_distances(df, metric, bound).collect()}
+    want = brute_pairs(rows, metric, bound)
+    assert got.keys() == want.keys()
+    assert made[0].rows.count() <= 400 * 25
+
+
+@pytest.mark.parametrize("metric", ["l1", "l2"])
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-3, 1e3), (1e30, 0.0), (1e200, 0.0)])
+def test_rough_filters_lose_no_cell(metric, scale, shift):
+    rng = np.random.default_rng(3)
+    a, b = (rng.normal(size=(n, 33)) * scale + shift for n in (40, 50))
+    a[3], b[4, 0], b[5, 1] = b[7], np.nan, np.inf
+    with np.errstate(all="ignore"):
+        d = P.KERNELS[metric](a, b)
+        for bound in (0.0, *np.nanquantile(d[np.isfinite(d)], [0.01, 0.5] if np.isfinite(d).any() else [])):
+            i, j, near = P._near_cells(a, b, metric, float(bound))
+            assert set(zip(i, j)) == set(zip(*np.nonzero(d <= bound)))
+            assert (near == d[i, j]).all()
